@@ -121,6 +121,21 @@ def _drop_dot_segments(path: Column) -> Column:
     return F.array_join(F.concat(folded, closing), "/")
 
 
+def _encode_address(address: Column) -> Column:
+    """Percent-encode what an address may not hold as it stands, such as non-ASCII letters."""
+    plain = address.rlike(r"^[\x21-\x7e&&[^\"<>`]]*$")
+    encoded = F.array_join(
+        F.transform(
+            F.split(address, ""),
+            lambda c: F.when(c == " ", F.lit("%20"))
+            .when(c.rlike(r"[^\x21-\x7e]|[\"<>`]"), F.url_encode(c))
+            .otherwise(c),
+        ),
+        "",
+    )
+    return F.when(plain, address).otherwise(encoded)
+
+
 def resolve_url(href: Column, base: Column) -> Column:
     """Address of ``href`` as seen from the page at ``base``."""
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
@@ -132,7 +147,7 @@ def resolve_url(href: Column, base: Column) -> Column:
     rest = F.substring(href, F.length(own_path) + 1, F.length(href))
     absolute = href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
     bare_host = href.rlike(r"^https?://[^/?#]+$")
-    return (
+    resolved = (
         F.when(absolute & bare_host, F.concat(href, F.lit("/")))
         .when(absolute, href)
         .when(F.startswith(href, F.lit("//")), F.concat(scheme, F.lit(":"), href))
@@ -140,6 +155,7 @@ def resolve_url(href: Column, base: Column) -> Column:
         .when(F.startswith(href, F.lit("?")), F.concat(origin, F.when(path == "", F.lit("/")).otherwise(path), href))
         .otherwise(F.concat(origin, _drop_dot_segments(F.concat(folder, own_path)), rest))
     )
+    return _encode_address(resolved)
 
 
 def is_file_address(address: Column) -> Column:
