@@ -34,13 +34,15 @@ def hierarchy_path(df: DataFrame, by: list[str] = YEAR_KEY, depth: int = MAX_DEP
         step = nodes.select(
             *by, F.col("code").alias("__up"), F.col("title").alias("__title"), F.col("parent_code").alias("__next")
         )
-        new = ~F.array_contains("__seen", F.col("__up")) & F.col("__title").isNotNull()
+        unseen = ~F.array_contains("__seen", F.col("__up")) & F.col("__title").isNotNull()
+        new = F.col("__new")
         walked = (
             walked.join(step, [*by, "__up"], "left")
+            .withColumn("__new", F.coalesce(unseen, F.lit(False)))
             .withColumn("path", F.when(new, F.concat(F.array("__title"), F.col("path"))).otherwise(F.col("path")))
             .withColumn("__seen", F.when(new, F.concat("__seen", F.array("__up"))).otherwise(F.col("__seen")))
             .withColumn("__up", F.when(new, F.col("__next")))
-            .drop("__title", "__next")
+            .drop("__title", "__next", "__new")
         )
     return walked.drop("__seen", "__up")
 

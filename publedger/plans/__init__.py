@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("functions",)
+MODULES = ("functions", "budget", "procurement", "calendars")
 
 
 def load() -> None:
