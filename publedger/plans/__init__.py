@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("functions", "budget", "procurement", "calendars")
+MODULES = ("functions", "budget", "procurement", "calendars", "matches")
 
 
 def load() -> None:

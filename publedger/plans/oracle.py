@@ -315,16 +315,16 @@ COMMON: dict[str, str] = {
                {share("count(*) FILTER (category = 'no_subject_recorded')", "count(*)")} AS no_subject_percent,
                {share("count(*) FILTER (category = 'unclassified')", "count(*)")} AS unclassified_percent
         FROM clocked c GROUP BY c.person_key""",
+    "oq": "SELECT DISTINCT 'C' || o_custkey AS person_key, year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS q FROM orders",
+    "oqp": """
+        SELECT 'C' || c_custkey AS person_key, unnest(CASE c_custkey % 4 WHEN 0 THEN [1997 * 4 + 1, 1997 * 4 + 2] WHEN 1 THEN [1998 * 4, 1998 * 4 + 1, 1998 * 4 + 2, 1998 * 4 + 3] ELSE [] END) AS q
+        FROM customer""",
     "gaps": """
         SELECT s.person_key, CAST(s.q // 4 AS VARCHAR) || '-Q' || (s.q % 4 + 1) AS quarter, p.person_key IS NOT NULL AS unread
         FROM (SELECT person_key, unnest(range(min(q), max(q) + 1)) AS q FROM oq GROUP BY 1) s
         LEFT JOIN oq ON oq.person_key = s.person_key AND oq.q = s.q
         LEFT JOIN oqp p ON p.person_key = s.person_key AND p.q = s.q
         WHERE oq.q IS NULL""",
-    "oq": "SELECT DISTINCT 'C' || o_custkey AS person_key, year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS q FROM orders",
-    "oqp": """
-        SELECT 'C' || c_custkey AS person_key, unnest(CASE c_custkey % 4 WHEN 0 THEN [1997 * 4 + 1, 1997 * 4 + 2] WHEN 1 THEN [1998 * 4, 1998 * 4 + 1, 1998 * 4 + 2, 1998 * 4 + 3] ELSE [] END) AS q
-        FROM customer""",
     "tenures": """
         SELECT 'T' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS tenure_id, 'Holder ' || (c_custkey % 400) AS person_name, 'role ' || (c_custkey % 3) AS role, 'S' || c_nationkey AS section_id,
                CASE WHEN c_custkey % 97 <> 0 THEN CAST(min(o_orderdate) AS DATE) END AS start_date, CASE WHEN c_acctbal >= 0 THEN CAST(max(o_orderdate) AS DATE) END AS end_date

@@ -15,13 +15,16 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
+def _names_in(body: str) -> set[str]:
+    return set(re.findall(r"[A-Za-z_][A-Za-z_0-9]*", body)) & COMMON.keys()
+
+
 def _needed(body: str) -> list[str]:
     """Common tables a statement uses, directly or through others, in definition order."""
     found: set[str] = set()
     pending = [body]
     while pending:
-        words = set(re.findall(r"[A-Za-z_][A-Za-z_0-9]*", pending.pop()))
-        for name in words & COMMON.keys() - found:
+        for name in _names_in(pending.pop()) - found:
             found.add(name)
             pending.append(COMMON[name])
     return [name for name in COMMON if name in found]
