@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("functions", "budget", "procurement", "calendars", "matches")
+MODULES = ("functions", "budget", "procurement", "calendars", "matches", "texts", "storage")
 
 
 def load() -> None:
