@@ -74,10 +74,15 @@ def _bare_term(term: str) -> str:
     return " ".join(re.sub("[\"'.,:;!?()\\-–—*]", " ", term).split()).lower()
 
 
+def bare_terms(terms: list[str] | tuple[str, ...]) -> list[str]:
+    """Listed terms in the form :func:`bare_text` gives, without blanks and repeats."""
+    return sorted({t for t in (_bare_term(term) for term in terms) if t})
+
+
 def is_generic(c: Column | str, terms: list[str] | tuple[str, ...]) -> Column:
     """Whether a subject, once bare, *is* one of the listed terms or nothing at all."""
     bare = bare_text(norm_subject(c))
-    listed = sorted({t for t in (_bare_term(term) for term in terms) if t})
+    listed = bare_terms(terms)
     empty = bare == F.lit("")
     return empty | bare.isin(listed) if listed else empty
 

@@ -9,14 +9,15 @@ from publedger.functions.text import (
     MAX_PROCLITICS,
     PROCLITICS,
     QUOTES,
-    is_generic,
+    bare_terms,
+    bare_text,
     matches_as_word,
     norm_subject,
     norm_text,
     squeeze,
 )
 from publedger.operators.common import first_per_group
-from publedger.operators.matching import substring_matches
+from publedger.operators.matching import SMALL_POOL, substring_matches
 
 # Categories that say a subject is absent, and confidence order.
 NON_TOPIC_CATEGORIES = (
@@ -33,9 +34,9 @@ SENTINEL_PRIORITY = 90
 UNKNOWN_PRIORITY = 999
 
 
-def match_topics(title: Column | str, summary: Column | str, topics: list[tuple[str, list[str]]]) -> list[Column]:
-    """``topics`` and ``topic_rule``: every topic one of whose keywords occurs in the text."""
-    text = norm_text(F.concat_ws(" ", title, summary))
+def match_topics(rows: DataFrame, topics: list[tuple[str, list[str]]]) -> DataFrame:
+    """``topics`` and ``topic_rule`` of rows with title and summary: every topic with a keyword in the text."""
+    text = F.col("__text")
     hits = []
     for topic, keywords in topics:
         found = F.array_compact(
@@ -43,43 +44,41 @@ def match_topics(title: Column | str, summary: Column | str, topics: list[tuple[
         )
         rule = F.concat(F.lit(f"keyword_match({topic}): "), F.array_join(found, ", "))
         hits.append(F.when(F.size(found) > 0, F.struct(F.lit(topic).alias("id"), rule.alias("rule"))))
-    fired = F.array_compact(F.array(*hits))
-    return [
-        F.transform(fired, lambda h: h["id"]).alias("topics"),
-        F.array_join(F.transform(fired, lambda h: h["rule"]), " | ").alias("topic_rule"),
-    ]
+    return (
+        rows.withColumn("__text", norm_text(F.concat_ws(" ", "title", "summary")))
+        .withColumn("__fired", F.array_compact(F.array(*hits)))
+        .withColumn("topics", F.col("__fired.id"))
+        .withColumn("topic_rule", F.array_join(F.col("__fired.rule"), " | "))
+        .drop("__text", "__fired")
+    )
 
 
 def classify_topics(
     activities: DataFrame, topics: list[tuple[str, list[str]]], overrides: list[tuple[str, list[str], str]]
 ) -> DataFrame:
     """Activities with their topics; patterns on the id add topics, the note is rebuilt whole."""
-    matched = activities.drop("topics").select("*", *match_topics("title", "summary", topics))
-    added = F.array().cast("array<string>")
-    notes = F.array().cast("array<string>")
+    matched = match_topics(activities.drop("topics"), topics)
+    nothing = F.array().cast("array<string>")
+    added, notes = nothing, nothing
     for pattern, topic_ids, reason in overrides:
         hit = F.col("id").rlike(pattern)
-        nothing = F.array().cast("array<string>")
         added = F.concat(added, F.when(hit, F.array(*[F.lit(t) for t in topic_ids])).otherwise(nothing))
         notes = F.concat(notes, F.when(hit, F.array(F.lit(f"manual_override: {reason}"))).otherwise(nothing))
-    final = F.array_sort(F.array_union("topics", added))
-    rule = F.array_join(
-        F.concat(F.when(F.col("topic_rule") != "", F.array("topic_rule")).otherwise(F.array().cast("array<string>")), notes),
-        " | ",
-    )
+    by_keyword = F.when(F.col("topic_rule") != "", F.array("topic_rule")).otherwise(nothing)
     base = F.split_part(F.col("notes"), F.lit(f" || {TOPIC_NOTE}"), F.lit(1))
     return (
-        matched.withColumn("__final", final)
-        .withColumn("notes", F.concat(base, F.lit(f" || {TOPIC_NOTE} "), rule))
-        .withColumn("topics", F.col("__final"))
-        .drop("__final", "topic_rule")
+        matched.withColumn("topics", F.array_sort(F.array_union("topics", added)))
+        .withColumn(
+            "notes", F.concat(base, F.lit(f" || {TOPIC_NOTE} "), F.array_join(F.concat(by_keyword, notes), " | "))
+        )
+        .drop("topic_rule")
     )
 
 
 def topic_counts(classified: DataFrame, topics: list[str]) -> DataFrame:
     """Items per declared topic, topics without an item included."""
     declared = classified.sparkSession.createDataFrame([(t,) for t in topics], "topic string")
-    counts = classified.select(F.explode("topics").alias("topic")).groupBy("topic").agg(F.count("*").alias("n"))
+    counts = classified.select(F.explode_outer("topics").alias("topic")).groupBy("topic").agg(F.count("*").alias("n"))
     return declared.join(counts, "topic", "left").select("topic", F.coalesce("n", F.lit(0)).alias("item_count"))
 
 
@@ -106,19 +105,25 @@ def word_matches(texts: DataFrame, needles: DataFrame) -> DataFrame:
         return F.array_compact(F.array(*kept))
 
     anchors = F.array_distinct(F.flatten(F.transform(runs, versions)))
+    # explode_outer: an inner explode would have its array computed once more in a pushed filter.
     by_run = (
-        held.select("text_id", "text", F.explode(anchors).alias("anchor"))
+        held.select("text_id", "text", F.explode_outer(anchors).alias("anchor"))
         .join(lettered, "anchor")
         .filter(matches_as_word("text", "needle"))
         .select("text_id", "needle")
     )
-    by_substring = (
-        substring_matches(held, others, min_length=1)
-        .join(held, "text_id")
-        .filter(matches_as_word("text", "needle"))
-        .select("text_id", "needle")
-    )
-    return by_run.unionByName(by_substring)
+    size = others.limit(SMALL_POOL + 1).count()
+    if size == 0:
+        return by_run
+    if size <= SMALL_POOL:
+        found = held.join(F.broadcast(others.select("needle")), matches_as_word("text", "needle"))
+    else:
+        found = (
+            substring_matches(held, others, min_length=1)
+            .join(held, "text_id")
+            .filter(matches_as_word("text", "needle"))
+        )
+    return by_run.unionByName(found.select("text_id", "needle"))
 
 
 def _prepared_lexicon(lexicon: DataFrame) -> DataFrame:
@@ -142,11 +147,19 @@ def classify_distinct(
     No text at all, then a generic phrase, then the longest keyword among topic categories,
     then the longest among the others; equal lengths fall to the lower priority number.
     """
-    distinct = subjects.select("subject").distinct()
-    texts = distinct.withColumn("text", F.lower(norm_subject("subject"))).withColumn("text_id", F.col("subject"))
-    absent = is_generic("subject", sentinels) if sentinels else F.lit(False)
-    vague = is_generic("subject", generic)
-    open_texts = texts.filter(~absent & ~vague)
+    # One lookup says what a bare text is, so the text is normalised once per distinct subject.
+    kinds = {t: "unspecified" for t in ["", *bare_terms(generic)]}
+    if sentinels:
+        kinds.update({t: "no_subject_recorded" for t in ["", *bare_terms(sentinels)]})
+    listed = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
+    texts = (
+        subjects.select("subject")
+        .distinct()
+        .withColumn("text", norm_subject("subject"))
+        .withColumn("__kind", F.try_element_at(listed, bare_text("text")))
+        .withColumn("text", F.when(F.col("__kind").isNull(), F.lower("text")))
+    )
+    open_texts = texts.select(F.col("subject").alias("text_id"), "text")
     words = _prepared_lexicon(lexicon)
     best = F.struct("tier", (-F.length("needle")).alias("size"), "priority", "seq")
     winners = (
@@ -156,16 +169,13 @@ def classify_distinct(
         .agg(F.min_by(F.struct("category", "needle", "confidence"), best).alias("__win"))
     )
     won = F.col("__win")
-    return distinct.join(winners, "subject", "left").select(
+    return texts.drop("text").join(winners, "subject", "left").select(
         "subject",
-        F.when(absent, F.lit("no_subject_recorded"))
-        .when(vague, F.lit("unspecified"))
-        .otherwise(F.coalesce(won["category"], F.lit("unclassified")))
-        .alias("category"),
+        F.coalesce("__kind", won["category"], F.lit("unclassified")).alias("category"),
         won["needle"].alias("matched_keyword"),
         won["confidence"].alias("matched_confidence"),
-        F.when(absent, F.lit("no_subject_recorded"))
-        .when(vague, F.lit("generic_subject"))
+        F.when(F.col("__kind") == "unspecified", F.lit("generic_subject"))
+        .when(F.col("__kind").isNotNull(), F.col("__kind"))
         .when(won.isNotNull(), F.lit("keyword_match"))
         .otherwise(F.lit("no_match"))
         .alias("rule"),

@@ -264,7 +264,8 @@ def html_links(pages: DataFrame, html: str = "html", base: str = "url") -> DataF
         F.regexp_extract_all(html, F.lit(ANCHOR), 1).alias("href"),
         F.regexp_extract_all(html, F.lit(ANCHOR), 2).alias("body"),
     )
-    listed = pages.withColumn("__a", F.explode(anchors))
+    # explode_outer: an inner explode would scan the page once more in a pushed filter.
+    listed = pages.withColumn("__a", F.explode_outer(anchors)).filter(F.col("__a.href").isNotNull())
     text = decode_entities(js_trim(F.regexp_replace(F.col("__a.body"), "<[^>]+>", "")))
     href = resolve_url(decode_entities(F.col("__a.href")), F.col(base))
     return (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from publedger.functions.numbers import one_decimal_percent
 from publedger.functions.text import norm_subject
 from publedger.operators.classify import NON_TOPIC_CATEGORIES, word_matches
+from publedger.session import cut_lineage
 
 MIN_SUPPORT, MIN_DOMINANCE, MAX_EXTRAPOLATION = 5, 0.7, 8
 MIN_WORDS, MAX_WORDS = 2, 4
@@ -147,8 +148,10 @@ def inference_totals(rows: DataFrame) -> DataFrame:
 
 
 def infer_names(rows: DataFrame, lexicon: DataFrame, holders: DataFrame) -> DataFrame:
-    """Candidates → occurrences → decisions → refusals → rows, in one call."""
-    candidates = name_candidates(rows, lexicon, holders)
-    decided = decide_name_field(name_occurrences(rows, candidates))
-    return apply_inference(rows, candidates, decided, refuse_overreach(rows, decided))
+    """Candidates → occurrences → decisions → refusals → rows, in one call.
 
+    Candidates and decisions each feed several later steps, so they are written once.
+    """
+    candidates = cut_lineage(name_candidates(rows, lexicon, holders), "candidates")
+    decided = cut_lineage(decide_name_field(name_occurrences(rows, candidates)), "decided")
+    return apply_inference(rows, candidates, decided, refuse_overreach(rows, decided))

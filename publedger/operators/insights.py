@@ -125,7 +125,8 @@ def insight_anomaly(findings: DataFrame) -> DataFrame:
 
 def insight_spread(scores: DataFrame, min_rows: int = MIN_ROWS, min_sections: int = MIN_SECTIONS) -> DataFrame:
     """Distance between the best and the worst transparency score of well-filled sections."""
-    rows = scores.filter(F.col("score").isNotNull() & (F.col("entry_count") > min_rows))
+    attributed = scores.filter(F.col("section_id").isNotNull())
+    rows = attributed.filter(F.col("score").isNotNull() & (F.col("entry_count") > min_rows))
     ends = rows.agg(
         F.count("*").alias("__n"),
         F.max("score").alias("__best"),

@@ -42,12 +42,12 @@ def _anchor_pairs(texts: DataFrame, needles: DataFrame, by: list[str], size: int
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
     by_word = needles.filter(F.size(words) >= 3).withColumn("anchor", longest["w"])
     by_run = needles.filter(F.size(words) < 3).withColumn("anchor", F.substring("needle", 1, size))
-    word_rows = texts.select("text_id", *by, F.explode(F.array_distinct(F.split("text", " "))).alias("anchor"))
+    word_rows = texts.select("text_id", *by, F.explode_outer(F.array_distinct(F.split("text", " "))).alias("anchor"))
     runs = F.transform(
         F.sequence(F.lit(1), F.length("text") - size + 1), lambda i: F.substring(F.col("text"), i, F.lit(size))
     )
     run_rows = texts.filter(F.length("text") >= size).select(
-        "text_id", *by, F.explode(F.array_distinct(runs)).alias("anchor")
+        "text_id", *by, F.explode_outer(F.array_distinct(runs)).alias("anchor")
     )
     key = [*by, "anchor"]
     return (

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("functions", "budget", "procurement", "calendars", "matches", "texts", "storage")
+MODULES = ("functions", "budget", "procurement", "calendars", "matches", "texts", "storage", "findings")
 
 
 def load() -> None:

@@ -28,7 +28,7 @@ TOPIC_TEXT = squeeze("regexp_replace(title || ' ' || summary, '[֑-ׇ]', '', 'g'
           concat_ws(' | ', {", ".join(_topic_sql(t, k) for t, k in TOPICS)}) AS topic_rule FROM (SELECT id, {TOPIC_TEXT} AS t FROM acts)""",
 )
 def _(spark, d):
-    return b.activities(spark, d).select("id", *classify.match_topics("title", "summary", TOPICS))
+    return classify.match_topics(b.activities(spark, d), TOPICS).select("id", "topics", "topic_rule")
 
 
 CLASSED = f"""SELECT id, list_sort(list_distinct(list_filter([{", ".join(f"CASE WHEN {_topic_sql(t, k)} IS NOT NULL THEN '{t}' END" for t, k in TOPICS)},
@@ -239,10 +239,7 @@ APPLIED = f"""{BASE}, hit AS ({_longest("(SELECT * FROM decided WHERE name NOT I
 
 
 def inferred(spark, d):
-    rows, found = b.named_rows(spark, d), candidates(spark, d)
-    decided = decisions(spark, d)
-    refused = inference.refuse_overreach(rows, decided)
-    return inference.apply_inference(rows, found, decided, refused)
+    return inference.infer_names(b.named_rows(spark, d), b.lexicon(spark), b.office_holders(spark, d))
 
 
 @query(
@@ -326,7 +323,7 @@ PARSED = f"""WITH e AS (SELECT user_id || '/' || strftime(ts, '%Y%m%d') AS doc,
     h AS (SELECT doc, CASE WHEN count(*) % 5 <> 0 THEN strftime(any_value(ts), '%-d.%-m.%Y') END AS day FROM e GROUP BY 1),
     p AS (SELECT e.doc, e.pos, CASE WHEN m = 0 THEN 'unparsed' WHEN m = 1 THEN 'row' WHEN m = 3 THEN 'row' WHEN m = 4 THEN 'unparsed' WHEN h.day IS NOT NULL THEN 'row' ELSE 'unparsed' END AS kind,
       CASE m WHEN 1 THEN strftime(ts, '%d/%m/%Y') WHEN 3 THEN strftime(ts, '%Y-%m-%d') ELSE h.day END AS start_date, CASE m WHEN 0 THEN NULL WHEN 3 THEN NULL ELSE {_clk("sm")} END AS start_time,
-      CASE WHEN m IN (1, 2) THEN {_clk("um")} END AS end_time, CASE m WHEN 0 THEN 'page footer' WHEN 1 THEN event_type WHEN 2 THEN event_type WHEN 3 THEN event_type || ' all day' WHEN 4 THEN 'x' ELSE event_type || ' room' END AS subject
+      CASE WHEN m IN (1, 2) THEN {_clk("um")} END AS end_time, CASE m WHEN 0 THEN 'page footer' WHEN 1 THEN event_type WHEN 2 THEN event_type WHEN 3 THEN event_type || ' all day long' WHEN 4 THEN 'x' ELSE event_type || ' room' END AS subject
       FROM e JOIN h ON h.doc = e.doc)"""
 
 

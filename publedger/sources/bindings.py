@@ -677,7 +677,7 @@ def text_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.when(k % 10 == 0, F.lit("page  footer"))
         .when(k % 10 == 1, F.concat(F.date_format("ts", "dd/MM/yyyy"), F.lit(" "), _clock(start), F.lit("-"), _clock(until), F.lit(" | "), F.col("event_type")))
         .when(k % 10 == 2, F.concat(_clock(start), F.lit(" – "), _clock(until), F.lit("  "), F.col("event_type"), F.lit(" *")))
-        .when(k % 10 == 3, F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit(" "), F.col("event_type"), F.lit(" all day")))
+        .when(k % 10 == 3, F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit(" "), F.col("event_type"), F.lit(" all day long")))
         .when(k % 10 == 4, F.concat(_clock(start), F.lit(" x")))
         .otherwise(F.concat(F.lit("• "), _clock(start), F.lit(" "), F.col("event_type"), F.lit(" "), F.lit("room")))
     )
