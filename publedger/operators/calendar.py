@@ -161,19 +161,21 @@ def double_booked(entries: DataFrame, by: list[str]) -> DataFrame:
     reduced to counts per minute, so a day never weighs more than 1,440 rows.
     """
     clocked = clock_columns(entries.filter(F.col("date").isNotNull()))
-    closed = clocked.filter(F.col("end_min") > F.col("start_min"))
     one = F.lit(1).cast("bigint")
     none = F.lit(0).cast("bigint")
-    marks = closed.select(
+    closed = F.col("end_min") > F.col("start_min")
+    # The test stands inside the generator: as a filter it would be pushed down and have the
+    # clock texts read once more.
+    marks = clocked.select(
         *by,
         "date",
         F.inline(
             F.array(
-                F.struct(F.col("start_min").alias("minute"), one.alias("starts"), none.alias("ends")),
-                F.struct(F.col("end_min").alias("minute"), none.alias("starts"), one.alias("ends")),
+                F.when(closed, F.struct(F.col("start_min").alias("minute"), one.alias("starts"), none.alias("ends"))),
+                F.when(closed, F.struct(F.col("end_min").alias("minute"), none.alias("starts"), one.alias("ends"))),
             )
         ),
-    )
+    ).filter(F.col("minute").isNotNull())
     minutes = marks.groupBy(*by, "date", "minute").agg(F.sum("starts").alias("starts"), F.sum("ends").alias("ends"))
     so_far = W.partitionBy(*by, "date").orderBy("minute").rowsBetween(W.unboundedPreceding, 0)
     disjoint = minutes.withColumn("__ended", F.sum("ends").over(so_far)).withColumn(

@@ -18,6 +18,7 @@ from publedger.functions.text import (
 )
 from publedger.operators.common import first_per_group
 from publedger.operators.matching import SMALL_POOL, substring_matches
+from publedger.session import cut_lineage
 
 # Categories that say a subject is absent, and confidence order.
 NON_TOPIC_CATEGORIES = (
@@ -109,7 +110,8 @@ def word_matches(texts: DataFrame, needles: DataFrame) -> DataFrame:
     by_run = (
         held.select("text_id", "text", F.explode_outer(anchors).alias("anchor"))
         .join(lettered, "anchor")
-        .filter(matches_as_word("text", "needle"))
+        # A needle that is one run is proved by its anchor; only longer ones need the pattern.
+        .filter((F.col("needle") == F.col("anchor")) | matches_as_word("text", "needle"))
         .select("text_id", "needle")
     )
     size = others.limit(SMALL_POOL + 1).count()
@@ -159,6 +161,8 @@ def classify_distinct(
         .withColumn("__kind", F.try_element_at(listed, bare_text("text")))
         .withColumn("text", F.when(F.col("__kind").isNull(), F.lower("text")))
     )
+    # Three joins below read the normalised subjects, so they are written once.
+    texts = cut_lineage(texts, "subjects")
     open_texts = texts.select(F.col("subject").alias("text_id"), "text")
     words = _prepared_lexicon(lexicon)
     best = F.struct("tier", (-F.length("needle")).alias("size"), "priority", "seq")

@@ -96,11 +96,12 @@ def grid_headers(cells: DataFrame) -> DataFrame:
     fits that no earlier cell of its row took.
     """
     text = F.regexp_replace(squeeze("value"), "[\"'״׳:]", "")
+    any_pattern = "|".join(f"(?:{p})" for p, _ in HEADER_PATTERNS)
     fits = F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(t)) for p, t in HEADER_PATTERNS]))
-    marked = cells.filter((F.col("row") < HEADER_ROWS) & (text != "")).withColumn("__fits", fits)
     # Only cells that fit something are gathered, and one row holds few of them.
     rows = (
-        marked.filter(F.size("__fits") > 0)
+        cells.filter((F.col("row") < HEADER_ROWS) & text.rlike(any_pattern))
+        .withColumn("__fits", fits)
         .groupBy("doc", "row")
         .agg(F.sort_array(F.collect_list(F.struct("col", "__fits"))).alias("__cells"))
     )

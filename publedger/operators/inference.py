@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from publedger.functions.numbers import one_decimal_percent
@@ -32,16 +32,25 @@ def vocabulary_words(lexicon: DataFrame) -> DataFrame:
     return words.filter(F.length("word") > 1).distinct()
 
 
+def weigh_subjects(rows: DataFrame) -> DataFrame:
+    """``text, category, weight``: distinct normalised subjects and the rows behind them.
+
+    Rows are counted by raw subject first, so only distinct subjects are normalised. A table
+    that already has this shape is used as it is.
+    """
+    if "weight" in rows.columns:
+        return rows
+    raw = rows.groupBy("subject", "category").agg(F.count("*").alias("__n"))
+    return raw.groupBy(norm_subject("subject").alias("text"), "category").agg(F.sum("__n").alias("weight"))
+
+
 def name_candidates(rows: DataFrame, lexicon: DataFrame, holders: DataFrame) -> DataFrame:
     """Subjects shaped like a name without a known word, and the office holders' own names.
 
-    ``rows``: subject, category. ``holders``: person_label.
+    ``rows``: subject, category (or weighed subjects). ``holders``: person_label.
     """
-    shaped = _named(
-        rows.filter(F.col("category").isin(*NON_TOPIC_CATEGORIES))
-        .select(norm_subject("subject").alias("name"))
-        .distinct()
-    )
+    weighed = weigh_subjects(rows).filter(F.col("category").isin(*NON_TOPIC_CATEGORIES))
+    shaped = _named(weighed.select(F.col("text").alias("name")).distinct())
     known = (
         shaped.select("name", F.explode(_words("name")).alias("word"))
         .join(vocabulary_words(lexicon), "word", "left_semi")
@@ -51,23 +60,19 @@ def name_candidates(rows: DataFrame, lexicon: DataFrame, holders: DataFrame) ->
     return shaped.join(known, "name", "left_anti").unionByName(labels.distinct()).distinct()
 
 
-def _weighted_subjects(rows: DataFrame) -> DataFrame:
-    """Distinct normalised subjects per category with the number of rows behind them."""
-    return rows.groupBy(norm_subject("subject").alias("text"), "category").agg(F.count("*").alias("__w"))
-
-
 def name_occurrences(rows: DataFrame, names: DataFrame) -> DataFrame:
     """``name, category, n``: rows in which the name stands as a phrase of whole words."""
-    weighted = _weighted_subjects(rows)
-    texts = weighted.select(F.col("text").alias("text_id"), "text").distinct()
+    weighed = weigh_subjects(rows)
+    texts = weighed.select(F.col("text").alias("text_id"), "text").distinct()
     tokens = F.split("text_id", " ")
     long_words = F.filter(F.split("needle", " "), lambda w: F.length(w) > 1)
     whole = (F.size(long_words) > 0) & (F.size(F.array_except(long_words, tokens)) == 0)
     pairs = word_matches(texts, names.select(F.col("name").alias("needle"))).filter(whole)
     return (
-        pairs.join(weighted, pairs["text_id"] == weighted["text"])
+        pairs.withColumnRenamed("text_id", "text")
+        .join(weighed, "text")
         .groupBy(F.col("needle").alias("name"), "category")
-        .agg(F.sum("__w").alias("n"))
+        .agg(F.sum("weight").alias("n"))
     )
 
 
@@ -87,13 +92,14 @@ def decide_name_field(
     return kept.withColumn("dominance", one_decimal_percent(F.col("supporting_rows"), F.col("classified_appearances")))
 
 
-def _open_rows(rows: DataFrame) -> DataFrame:
-    return rows.filter(F.col("category").isin(*NON_TOPIC_CATEGORIES) & ~F.col("category").isin(*CLOSED_CATEGORIES))
+def _is_open() -> Column:
+    """Rows an inference may change: no topic, yet not left blank or vague by the office."""
+    return F.col("category").isin(*NON_TOPIC_CATEGORIES) & ~F.col("category").isin(*CLOSED_CATEGORIES)
 
 
 def longest_name(rows: DataFrame, names: DataFrame) -> DataFrame:
     """``text, name``: the longest of the names that stands in each open subject."""
-    texts = _open_rows(rows).select(norm_subject("subject").alias("text")).distinct()
+    texts = weigh_subjects(rows).filter(_is_open()).select("text").distinct()
     texts = texts.withColumn("text_id", F.col("text"))
     pairs = word_matches(texts, names.select(F.col("name").alias("needle")))
     order = F.struct(-F.length("needle"), F.col("needle"))
@@ -102,8 +108,9 @@ def longest_name(rows: DataFrame, names: DataFrame) -> DataFrame:
 
 def refuse_overreach(rows: DataFrame, decided: DataFrame, limit: int = MAX_EXTRAPOLATION) -> DataFrame:
     """Decided names that would relabel more rows than ``limit`` times their evidence."""
-    hits = longest_name(rows, decided)
-    weights = _open_rows(rows).groupBy(norm_subject("subject").alias("text")).agg(F.count("*").alias("__w"))
+    weighed = weigh_subjects(rows)
+    hits = longest_name(weighed, decided)
+    weights = weighed.filter(_is_open()).groupBy("text").agg(F.sum("weight").alias("__w"))
     reach = hits.join(weights, "text").groupBy("name").agg(F.sum("__w").alias("would_touch"))
     return (
         decided.join(reach, "name")
@@ -112,20 +119,24 @@ def refuse_overreach(rows: DataFrame, decided: DataFrame, limit: int = MAX_EXTRA
     )
 
 
-def apply_inference(rows: DataFrame, candidates: DataFrame, decided: DataFrame, refused: DataFrame) -> DataFrame:
+def apply_inference(
+    rows: DataFrame, candidates: DataFrame, decided: DataFrame, refused: DataFrame, weighed: DataFrame | None = None
+) -> DataFrame:
     """Rows with the field of the longest accepted name in them, at low confidence.
 
-    A row that is exactly an unresolved candidate becomes a meeting with a named person.
+    A row that is exactly an unresolved candidate becomes a meeting with a named person. What
+    to do is settled per distinct subject and then joined to the rows.
     """
     accepted = decided.join(refused.select("name"), "name", "left_anti")
-    hits = longest_name(rows, accepted).join(accepted.select("name", F.col("category").alias("__field")), "name")
+    fields = accepted.select("name", F.col("category").alias("__field"))
+    hits = longest_name(rows if weighed is None else weighed, accepted).join(fields, "name")
     people = candidates.join(decided.select("name"), "name", "left_anti").select(
         F.col("name").alias("text"), F.lit(True).alias("__person")
     )
-    keyed = rows.withColumn("text", norm_subject("subject"))
-    joined = keyed.join(hits.withColumnRenamed("name", "__name"), "text", "left").join(people, "text", "left")
-    is_open = F.col("category").isin(*NON_TOPIC_CATEGORIES) & ~F.col("category").isin(*CLOSED_CATEGORIES)
-    by_field = is_open & F.col("__name").isNotNull()
+    marks = hits.withColumnRenamed("name", "__name").join(people, "text", "full_outer")
+    subjects = rows.select("subject").distinct().withColumn("text", norm_subject("subject")).join(marks, "text")
+    joined = rows.join(subjects, "subject", "left")
+    by_field = _is_open() & F.col("__name").isNotNull()
     by_person = ~by_field & (F.col("category") == "unclassified") & F.coalesce("__person", F.lit(False))
     changed = by_field | by_person
     columns = {
@@ -150,8 +161,9 @@ def inference_totals(rows: DataFrame) -> DataFrame:
 def infer_names(rows: DataFrame, lexicon: DataFrame, holders: DataFrame) -> DataFrame:
     """Candidates → occurrences → decisions → refusals → rows, in one call.
 
-    Candidates and decisions each feed several later steps, so they are written once.
+    Subjects, candidates and decisions each feed several later steps, so they are written once.
     """
-    candidates = cut_lineage(name_candidates(rows, lexicon, holders), "candidates")
-    decided = cut_lineage(decide_name_field(name_occurrences(rows, candidates)), "decided")
-    return apply_inference(rows, candidates, decided, refuse_overreach(rows, decided))
+    weighed = cut_lineage(weigh_subjects(rows), "subjects")
+    candidates = cut_lineage(name_candidates(weighed, lexicon, holders), "candidates")
+    decided = cut_lineage(decide_name_field(name_occurrences(weighed, candidates)), "decided")
+    return apply_inference(rows, candidates, decided, refuse_overreach(weighed, decided), weighed)
