@@ -157,7 +157,7 @@ def classify_distinct(
     texts = (
         subjects.select("subject")
         .distinct()
-        .withColumn("text", norm_subject("subject"))
+        .withColumn("text", norm_subject(F.coalesce("subject", F.lit(""))))
         .withColumn("__kind", F.try_element_at(listed, bare_text("text")))
         .withColumn("text", F.when(F.col("__kind").isNull(), F.lower("text")))
     )
@@ -193,7 +193,10 @@ def classify_subject(
     old = ("category", "matched_keyword", "matched_confidence", "rule", "inferred_from")
     clean = rows.drop(*old)
     decided = classify_distinct(clean, lexicon, generic, sentinels or [])
-    return clean.join(decided, "subject").withColumn("inferred_from", F.lit(None).cast("string"))
+    decided = decided.withColumnRenamed("subject", "__subject")
+    # Null-safe, so that a row without any subject is decided and kept too.
+    joined = clean.join(decided, F.col("subject").eqNullSafe(F.col("__subject"))).drop("__subject")
+    return joined.withColumn("inferred_from", F.lit(None).cast("string"))
 
 
 def category_report(classified: DataFrame, categories: DataFrame, lexicon: DataFrame) -> DataFrame:

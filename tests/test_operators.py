@@ -196,7 +196,7 @@ def test_subject_classification(spark):
     cases = {
         "ישיבת ממשלה מיוחדת": "government_cabinet", 'פגישה עם נציגי חברת בזק בע״מ': "private_sector", "פגישה": "unspecified", "": "no_subject_recorded",
         "ללא נושא רשום": "no_subject_recorded", "דיון בנושא רפורמת הכשרות": "unclassified", "ראיון טלפוני": "media_pr", "שיחה טלפוני": "meeting_without_subject",
-        "דיון חברתי": "unclassified", "FW: ביקור במרכז הרפואי": "field_visits",
+        None: "no_subject_recorded", "דיון חברתי": "unclassified", "FW: ביקור במרכז הרפואי": "field_visits",
     }
     rows = spark.createDataFrame([(s,) for s in cases], "subject string")
     got = classify.classify_subject(rows, lexicon, ["פגישה"], ["ללא נושא רשום"])
