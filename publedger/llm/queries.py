@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from publedger.llm import line_dedup, simhash
-from publedger.llm.common import LOWER, UPPER, table
+from publedger.llm import decontaminate, line_dedup, mixing, simhash
+from publedger.llm.common import LOWER, UPPER, WORD_CLASS, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -49,6 +49,83 @@ def hex_digits(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
 
+@query(
+    "op1_decontaminate",
+    f"""
+    WITH d AS (SELECT doc_id, regexp_extract_all({_sql_lower("coalesce(text, '')")}, '{decontaminate.WORD}') AS w FROM documents),
+    b AS (SELECT item_id, regexp_extract_all({_sql_lower("text")}, '{decontaminate.WORD}') AS w FROM benchmark),
+    spots AS (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0),
+    windows AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, n, array_to_string(w[i:i + n - 1], ' ') AS pattern FROM spots),
+    places AS (
+        SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n
+    ),
+    hits AS (
+        SELECT doc_id, i, n, item FROM (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS pattern FROM places)
+        JOIN windows USING (n, pattern)
+    ),
+    words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY doc_id),
+    items AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+        FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+    )
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
+)
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = decontaminate.find_leaks(docs, table(spark, folder, "benchmark"), carry=["doc_id"])
+    hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+@query(
+    "op2_mixing",
+    f"""
+    WITH sized AS (
+        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD_CLASS}')) AS size,
+               CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS key
+        FROM documents
+    ),
+    sums AS (
+        SELECT source, sum(size) AS source_size,
+               1.0 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 AS weight
+        FROM sized GROUP BY source
+    ),
+    ranked AS (
+        SELECT *, sum(3 * source_size) OVER w AS capped, sum(weight) OVER w AS closed, sum(weight) OVER () AS weights,
+               sum(source_size) OVER () AS budget, 3 * source_size / weight AS bend,
+               row_number() OVER (ORDER BY 3 * source_size / weight, encode(source) NULLS LAST) AS place
+        FROM sums WINDOW w AS (ORDER BY 3 * source_size / weight, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    ),
+    level AS (
+        SELECT coalesce(arg_min((budget - coalesce(capped, 0)) / (weights - coalesce(closed, 0)), place)
+               FILTER (WHERE (budget - coalesce(capped, 0)) / (weights - coalesce(closed, 0)) <= bend), 0) AS level FROM ranked
+    ),
+    targets AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, CAST(least(3 * source_size, weight * level) AS DOUBLE) AS target FROM sums, level),
+    placed AS (
+        SELECT s.doc_id, size, source_size, target,
+               sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS first
+        FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+    )
+    SELECT doc_id, size, source_size, target, CAST(
+        greatest(0, least(size, floor(target) - first)) + greatest(0, least(size, floor(target) - first - source_size))
+        + greatest(0, least(size, floor(target) - first - 2 * source_size)) AS BIGINT) AS taken
+    FROM placed
+    """,
+)
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, folder, "documents")).drop("source")
+
+
 @query("op3_simhash")
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
