@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from publedger.llm import decontaminate, line_dedup, mixing, simhash, toxicity
+from publedger.llm import decontaminate, language_model, line_dedup, mixing, simhash, toxicity, warc
 from publedger.llm.common import LOWER, UPPER, WORD_CLASS, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,29 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = line_dedup.dedup_lines(table(spark, folder, "documents"))
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query(
+    "op9_warc",
+    """
+    WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+    FROM f
+    """,
+)
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc.archive_and_read(table(spark, folder, "pages"), with_payload=False)
+    return found.select("page_id", F.col("response.payload_bytes"), F.col("response.payload_digest"), "record_type", "refers_to")
+
+
+@query("op10_lm_scoring")
+def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = language_model.train(docs.filter(~language_model.is_held_out()))
+    scored = language_model.score(docs, model)
+    return scored.select(
+        "doc_id", language_model.is_held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )
