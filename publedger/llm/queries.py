@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from publedger.llm import decontaminate, embedding_dedup, language_model, line_dedup, mixing, simhash, toxicity, warc
+from publedger.llm import decontaminate, embedding_dedup, language_model, line_dedup, mixing, simhash, substring_dedup, toxicity, warc
 from publedger.llm.common import LOWER, UPPER, WORD_CLASS, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,6 +162,12 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op7_substring_dedup")
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = substring_dedup.dedup_substrings(table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op8_embedding_dedup")
 def op8_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
