@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from publedger.llm import decontaminate, embedding_dedup, language_model, line_dedup, mixing, simhash, substring_dedup, toxicity, warc
+from publedger.llm import decontaminate, embedding_dedup, language_model, line_dedup, mixing, pii, simhash, substring_dedup, toxicity, warc
 from publedger.llm.common import LOWER, UPPER, WORD_CLASS, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,6 +162,14 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op6_pii")
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find_pii(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [pii.count_of(base, kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
 @query("op7_substring_dedup")
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cut = substring_dedup.dedup_substrings(table(spark, folder, "documents"))
