@@ -188,7 +188,7 @@ class LineIndex:
         moves = came.unionByName(went).withColumn("shard", _shard(self.shards))
 
         def update(key: tuple, old: pa.Table, moves: pa.Table) -> pa.Table:
-            now = CuckooFilter.from_bytes(old.column("cells")[0].as_py()) if old.num_rows else CuckooFilter.for_keys(KEYS_PER_SHARD)
+            now = CuckooFilter.from_bytes(old.column("cells")[0].as_py()) if old.num_rows else CuckooFilter.for_keys(4 * moves.num_rows)
             words, came = as_words(moves.column("key")), np.array(moves.column("came").to_pylist(), dtype=bool)
             now.delete(words[~came])
             full = not now.insert(words[came])
