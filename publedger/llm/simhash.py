@@ -60,13 +60,13 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint as a signed long) for every row."""
+    """``doc_id, fp`` (the fingerprint as a signed long) and ``h`` (a hash of the text) for every row."""
 
     def scan(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         prints = np.array([fingerprint(shingle_hashes(t, words, seed)) for t in texts_of(batch)], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(signed(prints))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(signed(prints)), batch.column("h")], ["doc_id", "fp", "h"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), scan, "doc_id long, fp long")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")), scan, "doc_id long, fp long, h long")
 
 
 def ball(radius: int) -> np.ndarray:
@@ -157,18 +157,20 @@ def near_links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """``doc_id, fp, component_id`` for every row: the smallest doc_id reachable over links."""
+    """``doc_id, fp, h, component_id`` for every row: the smallest doc_id reachable over links."""
     prints = cut_lineage(fingerprints(docs, words), "fingerprints")
     distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct-fingerprints")
     roots = components(near_links(distinct, distance)).withColumnRenamed("node", "fp")
     rooted = cut_lineage(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted-fingerprints")
     first = cut_lineage(rooted.groupBy("root").agg(F.min("first_doc").alias("component_id")), "components")
     groups = cut_lineage(rooted.join(first, "root").select("fp", "component_id"), "fingerprint-groups")
-    return prints.join(groups, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(groups, "fp").select("doc_id", "fp", "h", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their group; every row without an id stays."""
+    """The rows of ``docs`` whose doc_id names their group; every row without an id stays, and so do all
+    rows that repeat the id and text of one that stays."""
     found = near_duplicates(docs, words, distance)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone"), F.col("h").alias("of")).distinct()
+    same = (F.col("doc_id") == F.col("gone")) & (F.xxhash64("text") == F.col("of"))
+    return docs.join(gone, same, "left_anti").select(docs.columns)
