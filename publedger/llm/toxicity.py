@@ -242,11 +242,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", boun
     known = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)")
     known = known.filter(~held_out()).distinct()
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0.0)
+    weight = F.lit(1.0)
     for which, n in sizes.items():
-        share = F.when(F.col("label") == which, F.lit(min(1.0, bound / n))).otherwise(share)
+        weight = F.when(F.col("label") == which, F.lit(max(1.0, n / bound))).otherwise(weight)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000))
-    sample = known.filter(draw < share * 1_000_000).withColumn("weight", 1 / share)
+    sample = known.filter(draw < 1_000_000 / weight).withColumn("weight", weight)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     text = F.coalesce("text", F.lit(""))
     unique = rows.select(text.alias("text"), "label", "weight", F.xxhash64(text, F.lit("fold")).alias("h")).dropDuplicates(["h", "label"])

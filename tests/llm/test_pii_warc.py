@@ -42,7 +42,7 @@ def base_by_hand(text):
 TEXTS = [
     (1, "mail jo.doe@mail.example.com, a@b.c_x@d.e and a@b.c@d.e"), (2, None), (3, ""), (4, "1.2.3.4.5.6.7.8 and 256.1.1.1 or 00001.2.3.255 end 1.2.3"),
     (5, "4111 1111 1111 1111 and 4111-1111-1111-1112 4111111111111111"), (6, "+1 (017) 555-7713, +1 23 +123456789012345678"), (7, "é😀 jo@x.yz 😀 10.0.0.1"),
-    (8, "a" * 60_000 + "@"), (9, "1" * 60_000), (10, "x@" + "y." * 30_000 + "z"), (11, "+1" + "(" * 30_000), (12, "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"),
+    (8, "a" * 4_000 + "@"), (9, "1" * 4_000), (10, "x@" + "y." * 3_000 + "z"), (11, "+1" + "(" * 3_000), (12, "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"),
     (13, "jo@x.yz"), (13, "jo@x.yz"), (None, "10.0.0.1 10.0.0.2"), (14, "\n".join(f"user{k}@host{k}.org 10.0.{k}.7" for k in range(200))), (15, "1-2 3 +4 a@b 5.6.7"),
 ]
 
