@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from publedger.functions.text import (
@@ -17,7 +18,7 @@ from publedger.functions.text import (
     squeeze,
 )
 from publedger.operators.common import first_per_group
-from publedger.operators.matching import SMALL_POOL, substring_matches
+from publedger.operators.matching import substring_matches
 from publedger.session import cut_lineage
 
 # Categories that say a subject is absent, and confidence order.
@@ -102,7 +103,7 @@ def word_matches(texts: DataFrame, needles: DataFrame) -> DataFrame:
     def versions(word: Column) -> Column:
         kept = [word]
         for k in range(1, MAX_PROCLITICS + 1):
-            kept.append(F.when(word.rlike(f"{lead}{{{k}}}."), F.substring(word, k + 1, 1000)))
+            kept.append(F.when(word.rlike(f"{lead}{{{k}}}."), F.substr(word, F.lit(k + 1))))
         return F.array_compact(F.array(*kept))
 
     anchors = F.array_distinct(F.flatten(F.transform(runs, versions)))
@@ -114,17 +115,9 @@ def word_matches(texts: DataFrame, needles: DataFrame) -> DataFrame:
         .filter((F.col("needle") == F.col("anchor")) | matches_as_word("text", "needle"))
         .select("text_id", "needle")
     )
-    size = others.limit(SMALL_POOL + 1).count()
-    if size == 0:
+    if not others.limit(1).count():
         return by_run
-    if size <= SMALL_POOL:
-        found = held.join(F.broadcast(others.select("needle")), matches_as_word("text", "needle"))
-    else:
-        found = (
-            substring_matches(held, others, min_length=1)
-            .join(held, "text_id")
-            .filter(matches_as_word("text", "needle"))
-        )
+    found = substring_matches(held, others, min_length=1).join(held, "text_id").filter(matches_as_word("text", "needle"))
     return by_run.unionByName(found.select("text_id", "needle"))
 
 
@@ -320,10 +313,11 @@ def merge_lexicon(
     return merged, marked.groupBy("outcome").agg(F.count("*").alias("proposals"))
 
 
-def merge_categories(existing: DataFrame, proposed: DataFrame) -> DataFrame:
+def merge_categories(existing: DataFrame, proposed: DataFrame, limit: int = SENTINEL_PRIORITY) -> DataFrame:
     """New categories of the experts: one per id, described by the first expert, next priorities.
 
-    Priorities continue after the largest one below the sentinels.
+    Priorities continue after the largest one below the sentinels; a number that would reach
+    ``limit`` is an error, since it would collide with them.
     """
     new = proposed.join(existing.select("category"), "category", "left_anti")
     described = new.groupBy("category").agg(
@@ -334,8 +328,10 @@ def merge_categories(existing: DataFrame, proposed: DataFrame) -> DataFrame:
     last = existing.filter(F.col("priority") < SENTINEL_PRIORITY).agg(
         F.greatest(F.coalesce(F.max("priority"), F.lit(0)), F.lit(0)).alias("__last")
     )
-    # A lexicon has tens of categories, so one ordering over them is small.
-    numbered = first_per_group(described.withColumn("__all", F.lit(0)), ["__all"], [F.col("category")], 1000, rank="__n")
-    return numbered.join(F.broadcast(last), F.lit(True)).select(
-        "category", "label", "description", "experts", (F.col("__last") + F.col("__n")).alias("priority")
+    # One row for each category of a lexicon that people write, so one ordering over them is small.
+    numbered = described.withColumn("__n", F.row_number().over(W.orderBy("category"))).join(F.broadcast(last), F.lit(True))
+    priority = F.col("__last") + F.col("__n")
+    refused = F.raise_error(F.concat(F.lit("no priority is left for category "), F.col("category"))).cast("int")
+    return numbered.select(
+        "category", "label", "description", "experts", F.when(priority < limit, priority).otherwise(refused).alias("priority")
     )

@@ -12,7 +12,7 @@ from publedger.operators.common import first_per_group
 
 CAP_FACTOR = 1.5
 CAP_CODE_LENGTH = 6
-SUPPLIERS, CONTRACTS, RECIPIENTS, REQUESTS, EXAMPLES, RAW_METHODS, LEADERS = 15, 10, 15, 8, 6, 30, 5
+SUPPLIERS, CONTRACTS, RECIPIENTS, REQUESTS, EXAMPLES, LEADERS = 15, 10, 15, 8, 6, 5
 EXPLANATION_LENGTH = 600
 WEIGHTS = {"hhi": 0.40, "first_five": 0.35, "exempt": 0.25}
 
@@ -81,13 +81,13 @@ def contract_totals(contracts: DataFrame, leaders: int = LEADERS) -> DataFrame:
     return joined.withColumn("lead_share_percent", percent).drop("__lead")
 
 
-def method_mix(contracts: DataFrame, raw_methods: int = RAW_METHODS) -> DataFrame:
-    """Count, volume and share per method bucket, out of the largest raw methods."""
+def method_mix(contracts: DataFrame, raw_methods: int | None = None) -> DataFrame:
+    """Count, volume and share per method bucket, out of all raw methods or the largest ones."""
     raw = contracts.groupBy("section_id", "method").agg(
         F.count("*").alias("__n"), F.sum("volume").alias("__volume")
     )
     order = [F.desc_nulls_last("__volume"), F.col("method")]
-    kept = first_per_group(raw, ["section_id"], order, raw_methods)
+    kept = raw if raw_methods is None else first_per_group(raw, ["section_id"], order, raw_methods)
     buckets = kept.groupBy("section_id", norm_method("method").alias("bucket")).agg(
         F.sum("__n").alias("contract_count"), F.sum(F.coalesce("__volume", F.lit(0))).alias("total_volume")
     )
@@ -119,8 +119,8 @@ def excluded_examples(contracts: DataFrame, items: DataFrame, factor: float = CA
     return first_per_group(excluded, ["section_id"], [F.desc_nulls_last("volume"), F.col("seq")], n, rank="position")
 
 
-def support_recipients(payments: DataFrame, n: int = RECIPIENTS) -> DataFrame:
-    totals = (
+def recipient_totals(payments: DataFrame) -> DataFrame:
+    return (
         payments.filter(F.col("recipient").isNotNull())
         .groupBy("section_id", "recipient", "entity_id")
         .agg(
@@ -130,8 +130,11 @@ def support_recipients(payments: DataFrame, n: int = RECIPIENTS) -> DataFrame:
             F.max("title").alias("example_title"),
         )
     )
+
+
+def support_recipients(payments: DataFrame, n: int = RECIPIENTS) -> DataFrame:
     order = [F.desc_nulls_last("paid"), F.col("recipient"), F.col("entity_id")]
-    return first_per_group(totals, ["section_id"], order, n, rank="position")
+    return first_per_group(recipient_totals(payments), ["section_id"], order, n, rank="position")
 
 
 def top_transfers(requests: DataFrame, n: int = REQUESTS) -> DataFrame:

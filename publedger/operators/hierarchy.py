@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from publedger.functions.numbers import execution_rate, finite, outlier_note, read_measure
 from publedger.functions.text import js_trim
 from publedger.operators.common import first_per_group, fixed_rows
+from publedger.session import cut_lineage
 
-MAX_DEPTH = 3
+#: A deeper tree is refused, not cut.
+MOST_LEVELS = 64
 MEASURES = ("original", "updated", "actual", "estimated")
 YEAR_KEY = ["section_id", "fiscal_year"]
 
@@ -25,26 +27,42 @@ def mark_leaves(df: DataFrame, by: list[str] = YEAR_KEY) -> DataFrame:
     return df.join(parents, [*by, "code"], "left").withColumn("is_leaf", F.col("__named").isNull()).drop("__named")
 
 
-def hierarchy_path(df: DataFrame, by: list[str] = YEAR_KEY, depth: int = MAX_DEPTH) -> DataFrame:
-    """``path``: titles from the root to the row; a code met twice ends the walk."""
-    nodes = df.select(*by, F.col("code"), F.col("title"), F.col("parent_code")).dropDuplicates([*by, "code"])
-    walked = df.withColumn("__seen", F.array("code")).withColumn("path", F.array("title"))
-    walked = walked.withColumn("__up", F.col("parent_code"))
-    for _ in range(depth - 1):
-        step = nodes.select(
-            *by, F.col("code").alias("__up"), F.col("title").alias("__title"), F.col("parent_code").alias("__next")
-        )
-        unseen = ~F.array_contains("__seen", F.col("__up")) & F.col("__title").isNotNull()
-        new = F.col("__new")
-        walked = (
-            walked.join(step, [*by, "__up"], "left")
-            .withColumn("__new", F.coalesce(unseen, F.lit(False)))
-            .withColumn("path", F.when(new, F.concat(F.array("__title"), F.col("path"))).otherwise(F.col("path")))
-            .withColumn("__seen", F.when(new, F.concat("__seen", F.array("__up"))).otherwise(F.col("__seen")))
-            .withColumn("__up", F.when(new, F.col("__next")))
-            .drop("__title", "__next", "__new")
-        )
-    return walked.drop("__seen", "__up")
+def hierarchy_path(df: DataFrame, by: list[str] = YEAR_KEY, most: int = MOST_LEVELS) -> DataFrame:
+    """``path``: titles from the root to the row; a code met twice ends the walk.
+
+    Codes, not rows, walk up, one level in each round and all the way; deeper trees than ``most``
+    levels are refused. Of rows that repeat a code the last by title names it.
+    """
+    node = F.max(F.struct("title", "parent_code"))
+    nodes = df.filter(F.col("title").isNotNull()).groupBy(*by, "code").agg(node.alias("__node"))
+    nodes = cut_lineage(nodes.select(*by, "code", "__node.*"), "budget-codes")
+    step = nodes.select(*by, F.col("code").alias("__up"), F.col("title").alias("__title"), F.col("parent_code").alias("__next"))
+    start = df.select(*by, "code", F.col("parent_code").alias("__first")).distinct()
+    walking = start.filter(F.col("__first").isNotNull()).select(
+        *by, "code", "__first", F.col("__first").alias("__up"), F.array("code").alias("__seen"), F.array().cast("array<string>").alias("__above")
+    )
+    done: DataFrame | None = None
+    for _ in range(most):
+        met = walking.join(step, [*by, "__up"]).filter(~F.array_contains("__seen", F.col("__up")))
+        met = cut_lineage(
+            met.select(
+                *by, "code", "__first", F.col("__next").alias("__up"), F.concat("__seen", F.array("__up")).alias("__seen"),
+                F.concat(F.array("__title"), "__above").alias("__above"),
+            ),
+            "budget-paths",
+        )
+        if not met.limit(1).count():
+            break
+        done = met if done is None else done.unionByName(met)
+        walking = met.filter(F.col("__up").isNotNull())
+    else:
+        raise ValueError(f"the hierarchy is deeper than {most} levels")
+    if done is None:
+        return df.withColumn("path", F.array("title"))
+    longest = done.groupBy(*by, "code", "__first").agg(F.max_by("__above", F.size("__above")).alias("__above"))
+    walked = df.withColumn("__first", F.col("parent_code")).join(longest, [*by, "code", "__first"], "left")
+    above = F.coalesce("__above", F.array().cast("array<string>"))
+    return walked.withColumn("path", F.concat(above, F.array("title"))).drop("__above", "__first")
 
 
 def _text(name: str) -> Column:
@@ -72,6 +90,7 @@ def normalize_budget(raw: DataFrame, current_year: int, years: list[int] | None
     ).filter(F.col("fiscal_year").isNotNull() & F.col("code").isNotNull() & F.col("title").isNotNull())
     if years is not None:
         rows = rows.filter(F.col("fiscal_year").isin(*years))
+    rows = cut_lineage(rows, "budget-rows")  # read by the leaves, the codes and the paths
     # A row without a depth is dropped, but it still counts as someone's parent or title.
     rows = mark_leaves(hierarchy_path(rows)).filter(F.col("level").isNotNull())
     is_open = F.col("fiscal_year") >= current_year

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,8 +23,8 @@ from publedger.functions.text import (
 from publedger.functions.titles import covers_multiple
 from publedger.operators.common import middle_values
 
-#: Name lists up to this many rows are broadcast and tested directly.
-SMALL_POOL = 256
+#: Characters of the runs that names of one or two words are anchored on.
+RUN = 6
 ALIAS_MIN_LENGTH = 4
 NAME_MIN_LENGTH = 6
 TIMING_WINDOW_DAYS = 90
@@ -30,59 +32,54 @@ TIMING_WINDOW_DAYS = 90
 MINISTRY_LEAD = "^(?:המשרד ל|משרד ה|משרד )"
 
 
-def _anchor_pairs(texts: DataFrame, needles: DataFrame, by: list[str], size: int) -> DataFrame:
-    """Candidate (text, needle) pairs by an equi-join on a piece every match must share.
+def _runs(text: str, size: int) -> Column:
+    """The distinct character runs of one length in a text."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(size))))
+
+
+def _by_rarest(texts: DataFrame, needles: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs ``text_id, *by, needle`` of texts that hold the needle's rarest piece.
 
-    A needle of three or more words is anchored on its longest inner word, which stands whole
-    in any text that contains the needle. A shorter one is anchored on its first ``size``
-    characters, which occur among the texts' character runs of that length.
+    ``texts``: text_id, *by, pieces; ``needles``: *by, needle, pieces, all of which stand in any
+    text that holds the needle. A piece that many needles share costs nothing as long as each needle
+    has another one.
     """
-    words = F.split("needle", " ")
-    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    by_word = needles.filter(F.size(words) >= 3).withColumn("anchor", longest["w"])
-    by_run = needles.filter(F.size(words) < 3).withColumn("anchor", F.substring("needle", 1, size))
-    word_rows = texts.select("text_id", *by, F.explode_outer(F.array_distinct(F.split("text", " "))).alias("anchor"))
-    runs = F.transform(
-        F.sequence(F.lit(1), F.length("text") - size + 1), lambda i: F.substring(F.col("text"), i, F.lit(size))
-    )
-    run_rows = texts.filter(F.length("text") >= size).select(
-        "text_id", *by, F.explode_outer(F.array_distinct(runs)).alias("anchor")
-    )
-    key = [*by, "anchor"]
-    return (
-        word_rows.join(by_word, key)
-        .select("text_id", *by, "needle")
-        .unionByName(run_rows.join(by_run, key).select("text_id", *by, "needle"))
-    )
+    key = [*by, "piece"]
+    # explode_outer: an inner explode would have its array computed once more in a pushed filter.
+    in_text = texts.select("text_id", *by, F.explode_outer("pieces").alias("piece"))
+    in_needle = needles.select(*by, "needle", F.explode("pieces").alias("piece"))
+    counts = in_text.join(in_needle.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.count("*").alias("n"))
+    rarest = in_needle.join(counts, key).groupBy(*by, "needle").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
+    return in_text.join(rarest, key).select("text_id", *by, "needle")
 
 
 def substring_matches(
-    texts: DataFrame,
-    needles: DataFrame,
-    by: list[str] | None = None,
-    min_length: int = NAME_MIN_LENGTH,
-    small_pool: int = SMALL_POOL,
+    texts: DataFrame, needles: DataFrame, by: list[str] | None = None, min_length: int = NAME_MIN_LENGTH
 ) -> DataFrame:
     """Pairs ``text_id, *by, needle`` where the text contains the needle, within equal ``by``.
 
-    ``texts``: text_id (unique), *by, text. ``needles``: *by, needle (distinct here). The size
-    of the needle list is checked: a small one is broadcast and tested against every text, a
-    large one goes through anchors, so the work follows the text and not text × names.
+    ``texts``: text_id (unique), *by, text. ``needles``: *by, needle (distinct here). A needle of three
+    or more words is anchored on its rarest inner word, which stands whole in any text that contains
+    the needle; a shorter one on its rarest run of ``RUN`` characters (or half of that, or ``min_length``,
+    if it is shorter). Only candidates are verified, so the work follows the matches and not text × names.
     Text and needles must have single spaces; needles have at least ``min_length`` characters.
     """
     by = by or []
     pool = needles.select(*by, "needle").filter(F.length("needle") >= min_length).distinct()
     held = texts.select("text_id", *by, "text")
-    hit = F.contains("text", F.col("needle"))
-    if pool.limit(small_pool + 1).count() <= small_pool:
-        if by:
-            joined = held.join(F.broadcast(pool), by).filter(hit)
-        else:
-            joined = held.join(F.broadcast(pool), hit)
-        return joined.select("text_id", *by, "needle")
-    pairs = _anchor_pairs(held, pool, by, min_length)
-    return pairs.join(held.select("text_id", "text"), "text_id").filter(hit).select("text_id", *by, "needle")
+    words = F.split("needle", " ")
+    inner = F.array_distinct(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))))
+    by_word = pool.filter(F.size(words) >= 3).withColumn("pieces", inner)
+    found = [_by_rarest(held.withColumn("pieces", F.array_distinct(F.split("text", " "))), by_word, by)]
+    short = pool.filter(F.size(words) < 3)
+    sizes = sorted({min(min_length, RUN), *(n for n in (RUN // 2, RUN) if n > min_length)})
+    for size, above in zip(sizes, [*sizes[1:], None]):
+        fits = F.length("needle") >= size if above is None else F.length("needle").between(size, above - 1)
+        mine = short.filter(fits).withColumn("pieces", _runs("needle", size))
+        found.append(_by_rarest(held.filter(F.length("text") >= size).withColumn("pieces", _runs("text", size)), mine, by))
+    pairs = reduce(DataFrame.unionByName, found)
+    return pairs.join(held.select("text_id", "text"), "text_id").filter(F.contains("text", F.col("needle"))).select("text_id", *by, "needle")
 
 
 def match_office(rows: DataFrame, office: str, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -266,7 +263,7 @@ def name_pool(suppliers: DataFrame, recipients: DataFrame) -> DataFrame:
     )
 
 
-def cross_reference(entries: DataFrame, pool: DataFrame, small_pool: int = SMALL_POOL) -> DataFrame:
+def cross_reference(entries: DataFrame, pool: DataFrame) -> DataFrame:
     """Calendar rows whose subject names a supplier or support recipient of the same section."""
     distinct_subjects = (
         entries.filter(F.col("section_id").isNotNull())
@@ -276,7 +273,7 @@ def cross_reference(entries: DataFrame, pool: DataFrame, small_pool: int = SMALL
         .filter(F.length("text") >= NAME_MIN_LENGTH)
         .withColumn("text_id", F.struct("section_id", "subject"))
     )
-    pairs = substring_matches(distinct_subjects, pool, ["section_id"], small_pool=small_pool)
+    pairs = substring_matches(distinct_subjects, pool, ["section_id"])
     named = pairs.select("section_id", F.col("text_id.subject").alias("subject"), "needle").join(
         pool, ["section_id", "needle"]
     )

@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from publedger.functions.numbers import one_decimal_percent, share_of
-from publedger.operators.common import first_per_group
 
 ALL = "all"
 
@@ -187,6 +186,5 @@ def volatility(items: DataFrame, by: list[str] | None = None) -> DataFrame:
 def volatility_ranking(items: DataFrame, year: int) -> DataFrame:
     """Sections of one year by volatility, sections without an index left out."""
     index = volatility(items.filter(F.col("fiscal_year") == year)).filter(F.col("index_percent").isNotNull())
-    return first_per_group(
-        index, ["fiscal_year"], [F.desc("index_percent"), F.col("section_id")], n=1000, rank="position"
-    )
+    order = W.partitionBy("fiscal_year").orderBy(F.desc("index_percent"), "section_id")  # one row for each section
+    return index.withColumn("position", F.row_number().over(order))

@@ -78,9 +78,9 @@ def _(spark, d):
     return anomalies(spark, d)
 
 
-@query("n7_sorted_findings", f"SELECT rule_id, section_id, code, year, sort_value FROM ({FOUND}) ORDER BY sort_value DESC, section_id, code, year, rule_id LIMIT 100")
+@query("n7_sorted_findings", f"SELECT rule_id, section_id, code, year, sort_value FROM ({FOUND}) ORDER BY sort_value DESC, section_id, code, year, rule_id")
 def _(spark, d):
-    return rules.sorted_findings(anomalies(spark, d)).limit(100).select("rule_id", "section_id", "code", "year", "sort_value")
+    return rules.sorted_findings(anomalies(spark, d)).select("rule_id", "section_id", "code", "year", "sort_value")
 
 
 @query("n7_scanned_counts", "SELECT section_id, count(*) AS scanned FROM regs GROUP BY 1")
@@ -127,7 +127,7 @@ SUMMARY = f"""SELECT s.section_id, s.display_name, s.kind, l.latest_year, l.orig
       coalesce(p.contract_count, 0) AS contract_count, m.share_percent AS subject_matter_percent, st.state, st.published, st.unread, coalesce(a.n, 0) AS activity_count, coalesce(f.n, 0) AS anomaly_count, coalesce(r.n, 0) AS recipient_count, coalesce(x.n, 0) AS match_count
     FROM ({calendars.SECTIONS}) s LEFT JOIN ({LATEST}) l ON l.section_id = s.section_id LEFT JOIN ({calendars.TRANSPARENCY}) t ON t.section_id = s.section_id LEFT JOIN procurement p ON p.section_id = s.section_id
     LEFT JOIN ({calendars.MATTER}) m ON m.section_id = s.section_id LEFT JOIN ({calendars.STATES}) st ON st.section_id = s.section_id LEFT JOIN (SELECT section_id, count(*) AS n FROM acts GROUP BY 1) a ON a.section_id = s.section_id
-    LEFT JOIN (SELECT replace(section_id, 'B', 'S') AS section_id, count(*) AS n FROM ({FOUND}) GROUP BY 1) f ON f.section_id = s.section_id LEFT JOIN (SELECT section_id, count(*) AS n FROM recipients GROUP BY 1) r ON r.section_id = s.section_id
+    LEFT JOIN (SELECT replace(section_id, 'B', 'S') AS section_id, count(*) AS n FROM ({FOUND}) GROUP BY 1) f ON f.section_id = s.section_id LEFT JOIN (SELECT section_id, count(*) AS n FROM all_recipients GROUP BY 1) r ON r.section_id = s.section_id
     LEFT JOIN (SELECT section_id, count(*) AS n FROM ({matches.CROSS}) GROUP BY 1) x ON x.section_id = s.section_id"""
 
 
@@ -135,8 +135,8 @@ def summarise(spark, d):
     diary = b.diary(spark, d)
     profiles = cal.person_profile(diary)
     contracts = b.contracts(spark, d)
-    recipients = deals.support_recipients(b.payments(spark, d))
-    pool = matching.name_pool(deals.top_suppliers(contracts), recipients)
+    recipients = deals.recipient_totals(b.payments(spark, d))
+    pool = matching.name_pool(deals.supplier_totals(contracts), recipients)
     sections = calendars.sections(spark, d)
     return summary.section_summary(
         sections,

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from publedger.functions.text import person_key
 from publedger.operators import calendar as cal
 from publedger.operators import classify, contracts, hierarchy, inference, matching, quality, ranking, rules, sets, spending
 from publedger.session import cut_lineage
@@ -74,9 +75,7 @@ def diary_analysis(
     profiles = cut_lineage(cal.full_profile(entries), "profiles")
     owners = publications.withColumn(
         "person_key",
-        F.concat_ws(
-            "|", F.coalesce("section_id", F.lit("unattributed")), "role_label", F.coalesce("person_label", F.lit("—"))
-        ),
+        person_key("section_id", "role_label", "person_label"),
     )
     gaps = sets.publication_gaps(entries, owners.select("person_key", "period_label"))
     shares = cal.corpus_shares(entries)

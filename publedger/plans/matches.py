@@ -144,13 +144,13 @@ def _(spark, d):
 
 def pool(spark, d):
     return matching.name_pool(
-        deals.top_suppliers(b.contracts(spark, d)), deals.support_recipients(b.payments(spark, d))
+        deals.supplier_totals(b.contracts(spark, d)), deals.recipient_totals(b.payments(spark, d))
     )
 
 
 CROSS = f"""SELECT CASE WHEN kind = 'supplier' THEN 'supplier_meeting' ELSE 'support_recipient_meeting' END AS rule_id, d.entry_id, d.section_id, CASE WHEN NOT d.shared THEN d.person_label END AS person_label, d.role_label, d.person_key,
       CAST(d.date AS VARCHAR) AS date, d.subject, p.name AS matched_name, p.amount, p.kind
-    FROM diary d JOIN (SELECT section_id, supplier AS name, volume AS amount, 'supplier' AS kind FROM sup WHERE position <= 15 UNION ALL SELECT section_id, recipient, approved, 'support' FROM recipients) p
+    FROM diary d JOIN (SELECT section_id, supplier AS name, volume AS amount, 'supplier' AS kind FROM sup UNION ALL SELECT section_id, recipient, approved, 'support' FROM all_recipients) p
       ON p.section_id = d.section_id AND length({norm_entity("p.name")}) >= 6 AND contains({norm_entity("d.subject")}, {norm_entity("p.name")})"""
 
 
@@ -161,8 +161,7 @@ def _(spark, d):
 
 @query("j7_cross_reference_anchored", CROSS)
 def _(spark, d):
-    """The same through anchors, as a long name list would go."""
-    return matching.cross_reference(b.diary(spark, d), pool(spark, d), small_pool=0)
+    return matching.cross_reference(b.diary(spark, d), pool(spark, d))
 
 
 @query("d9_supplier_meeting", f"SELECT rule_id, entry_id, person_key, section_id, person_label, matched_name, amount FROM ({CROSS}) WHERE kind = 'supplier'")
@@ -180,11 +179,11 @@ def _(spark, d):
 
 
 def passages(spark, d):
-    """Opening passages of the benchmark texts, as names to find in whole documents."""
-    return b.read(spark, d, "benchmark").select(F.substring("text", 1, 60).alias("needle"))
+    """The benchmark texts, as names to find in whole documents."""
+    return b.read(spark, d, "benchmark").select(F.col("text").alias("needle"))
 
 
-PASSAGES = "SELECT DISTINCT d.doc_id AS text_id, n.needle FROM documents d, (SELECT DISTINCT substr(text, 1, 60) AS needle FROM benchmark) n WHERE contains(d.text, n.needle)"
+PASSAGES = "SELECT DISTINCT d.doc_id AS text_id, n.needle FROM documents d, (SELECT DISTINCT text AS needle FROM benchmark) n WHERE contains(d.text, n.needle)"
 
 
 @query("j7_passages_in_documents", PASSAGES)
@@ -196,7 +195,7 @@ def _(spark, d):
 @query("j7_passages_anchored", PASSAGES)
 def _(spark, d):
     texts = b.read(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text")
-    return matching.substring_matches(texts, passages(spark, d), small_pool=0)
+    return matching.substring_matches(texts, passages(spark, d))
 
 
 # ---- nearest in time -------------------------------------------------------------

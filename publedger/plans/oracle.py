@@ -247,6 +247,9 @@ COMMON: dict[str, str] = {
         SELECT 'S' || c_nationkey AS section_id, c_name AS recipient, CAST(c_custkey AS VARCHAR) AS entity_id, CAST(round(o_totalprice * 100) AS BIGINT) AS approved,
                CASE WHEN o_orderstatus = 'F' THEN CAST(round(o_totalprice * 100) AS BIGINT) END AS paid, c_mktsegment AS title
         FROM orders JOIN customer ON o_custkey = c_custkey""",
+    "all_recipients": """
+        SELECT section_id, recipient, CAST(count(*) AS BIGINT) AS request_count, CAST(sum(approved) AS BIGINT) AS approved, CAST(sum(paid) AS BIGINT) AS paid
+        FROM payments GROUP BY section_id, recipient, entity_id""",
     "recipients": """
         SELECT * FROM (SELECT section_id, recipient, entity_id, count(*) AS request_count, CAST(sum(approved) AS BIGINT) AS approved, CAST(sum(paid) AS BIGINT) AS paid,
                max(title) AS example_title, row_number() OVER (PARTITION BY section_id ORDER BY sum(paid) DESC NULLS LAST, recipient, entity_id) AS position

@@ -111,18 +111,18 @@ def _(spark, d):
     return c.procurement_index(b.contracts(spark, d))
 
 
-APPEAR = """SELECT supplier AS name_id, section_id, 'supplier' AS kind, contract_count AS n, volume, executed FROM sup WHERE position <= 15
-            UNION ALL SELECT recipient, section_id, 'support', request_count, approved, paid FROM recipients"""
+APPEAR = """SELECT supplier AS name_id, section_id, 'supplier' AS kind, contract_count AS n, volume, executed FROM sup
+            UNION ALL SELECT recipient, section_id, 'support', request_count, approved, paid FROM all_recipients"""
 
 
 @query("a22_entity_appearances", APPEAR)
 def _(spark, d):
-    return c.entity_appearances(c.top_suppliers(b.contracts(spark, d)), c.support_recipients(b.payments(spark, d)))
+    return c.entity_appearances(c.supplier_totals(b.contracts(spark, d)), c.recipient_totals(b.payments(spark, d)))
 
 
 @query(
     "a22_entity_profile",
-    f"""WITH pool AS (SELECT section_id, supplier AS name, volume AS amount, 'supplier' AS kind FROM sup WHERE position <= 15 UNION ALL SELECT section_id, recipient, approved, 'support' FROM recipients),
+    f"""WITH pool AS (SELECT section_id, supplier AS name, volume AS amount, 'supplier' AS kind FROM sup UNION ALL SELECT section_id, recipient, approved, 'support' FROM all_recipients),
         m AS (SELECT d.section_id, d.date, p.name FROM diary d JOIN pool p ON p.section_id = d.section_id AND contains(replace(d.subject, '(HQ)', ''), p.name)),
         c AS (SELECT section_id, supplier, order_date, seq FROM contracts),
         t AS (SELECT m.section_id, m.name, m.date, min(abs(date_diff('day', m.date, c.order_date))) AS gap FROM m JOIN c ON c.section_id = m.section_id AND c.supplier = m.name WHERE m.date IS NOT NULL GROUP BY ALL)
@@ -132,7 +132,7 @@ def _(spark, d):
 )
 def _(spark, d):
     deals = b.contracts(spark, d)
-    suppliers, recipients = c.top_suppliers(deals), c.support_recipients(b.payments(spark, d))
+    suppliers, recipients = c.supplier_totals(deals), c.recipient_totals(b.payments(spark, d))
     appearances = c.entity_appearances(suppliers, recipients)
     matches = matching.cross_reference(b.diary(spark, d), matching.name_pool(suppliers, recipients))
     matches = cut_lineage(matches, "matches")

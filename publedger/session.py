@@ -35,7 +35,8 @@ def local_session(name: str = "publedger", cpus: int | str = "*", shuffle_partit
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, named by the cluster in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) is a local folder made.
+    Only where that setting is absent and one machine does all the work (tests, a laptop) is a
+    local folder made; on a cluster its files would not be found again, so that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -43,6 +44,9 @@ def shared_folder(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share; the master is {master}")
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

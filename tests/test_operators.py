@@ -185,7 +185,7 @@ def test_anchored_search_equals_the_plain_one(spark):
     a = spark.createDataFrame(texts, "text_id int, text string")
     b = spark.createDataFrame([(n,) for n in needles], "needle string")
     want = sorted((i, n) for i, t in texts for n in needles if n in t)
-    assert rows_of(matching.substring_matches(a, b, small_pool=0), "text_id", "needle") == sorted(want, key=str)
+    assert rows_of(matching.substring_matches(a, b), "text_id", "needle") == sorted(want, key=str)
 
 
 LEXICON = [(0, "ישיבת ממשלה", "government_cabinet", 1, "high"), (1, "ישיבת הנהלה", "internal_management", 4, "high"), (2, 'בע"מ', "private_sector", 6, "high"), (3, "חברת", "private_sector", 6, "medium"), (4, "טלפוני", "meeting_without_subject", 90, "low"), (5, "ראיון", "media_pr", 7, "high"), (6, "ביקור ב", "field_visits", 8, "high")]
