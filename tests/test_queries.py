@@ -7,7 +7,8 @@ import pytest
 
 import __spark_entry__ as entry
 from publedger.operators import contracts, matching, quality
-from publedger.plans import calendars, lifecycle
+from publedger import plans
+from publedger.plans import calendars, lifecycle, registry
 from publedger.sources import bindings as b
 from tests.compare import difference, duck
 
@@ -24,9 +25,11 @@ def tables():
     return duck(FOLDER)
 
 
-def test_every_query_has_a_check():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
-    assert len(entry.queries()) > 250
+def test_every_query_of_the_library_has_a_check():
+    plans.load()
+    assert registry.QUERIES.keys() == registry.ORACLE.keys()
+    assert registry.QUERIES.keys() <= entry.queries().keys() and registry.ORACLE.keys() <= entry.oracle_sql().keys()
+    assert len(registry.QUERIES) > 250
 
 
 @pytest.mark.parametrize("name", CHOSEN)
