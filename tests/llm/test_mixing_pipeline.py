@@ -5,6 +5,7 @@ import math
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from publedger.llm import mixing, queries
@@ -105,3 +106,13 @@ def test_stages_work_on_what_their_predecessor_kept(spark):
     assert {r[0] for r in last.select("doc_id").collect()} == {r[0] for r in docs.select("doc_id").collect()}
     assert mixed(last) == mixed(corpus_pipeline.run(spark, FOLDER))
     assert [k for k, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "SimHash near-dedup", "benchmark decontamination", "mixing sources"]
+
+
+def test_stages_keep_columns_named_as_results_and_count_characters_again(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    clashing = ["score", "predicted", "n_words", "contaminated", "n_dropped", "kept"]
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in clashing})
+    for _, stage in [corpus_pipeline.STAGES[k] for k in (0, 1, 3)]:
+        docs = stage(spark, docs, FOLDER)
+        rows = docs.collect()
+        assert rows and all(r[c] == f"{c}{r['doc_id']}" and r["n_chars"] == len(r["text"]) for r in rows for c in clashing)
