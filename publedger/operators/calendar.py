@@ -218,7 +218,7 @@ def person_profile(entries: DataFrame) -> DataFrame:
         F.count_if("usable").alias("usable_count"),
         F.min("date").alias("first_date"),
         F.max("date").alias("last_date"),
-        F.sort_array(F.collect_set("dataset_id")).alias("dataset_ids"),
+        F.count_distinct("dataset_id").alias("dataset_count"),
         of("unspecified").alias("unspecified_count"),
         of("no_subject_recorded").alias("no_subject_count"),
         of("unclassified").alias("unclassified_count"),
@@ -245,6 +245,12 @@ def person_profile(entries: DataFrame) -> DataFrame:
     )
 
 
+def profile_datasets(entries: DataFrame) -> DataFrame:
+    """The publications behind each profile, one row each with the rows they give."""
+    named = entries.filter(F.col("dataset_id").isNotNull())
+    return named.groupBy("person_key", "dataset_id").agg(F.count("*").alias("entry_count"))
+
+
 def full_profile(entries: DataFrame) -> DataFrame:
     """The profile with the day measures the findings need."""
     by = ["person_key"]

@@ -156,16 +156,18 @@ def extract_grid(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     headers = grid_headers(cells)
     values = _grid_values(cells, headers)
-    kept = values.join(_first_long_gap(values), "doc", "left").filter(
-        F.col("stop_row").isNull() | (F.col("row") < F.col("stop_row"))
+    marked = values.join(_first_long_gap(values), "doc", "left").withColumn(
+        "__after", F.coalesce(F.col("row") >= F.col("stop_row"), F.lit(False))
     )
-    named = kept.filter(F.col("subject").isNotNull() | F.col("start_date").isNotNull())
+    kept = ~F.col("__after")
+    named = marked.filter(kept).filter(F.col("subject").isNotNull() | F.col("start_date").isNotNull())
     rows = named.select(
         "doc", "row", squeeze("subject").alias("subject"), "start_date", *[squeeze(c).alias(c) for c in GRID_FIELDS[2:]]
     )
-    unread = kept.groupBy("doc").agg(
-        F.count_if(F.col("subject").isNull() & F.col("start_date").isNull()).alias("__unparsed"),
-        F.count_if(F.col("subject").isNotNull() | F.col("start_date").isNotNull()).alias("__rows"),
+    unread = marked.groupBy("doc").agg(
+        F.count_if(kept & F.col("subject").isNull() & F.col("start_date").isNull()).alias("__unparsed"),
+        F.count_if(kept & (F.col("subject").isNotNull() | F.col("start_date").isNotNull())).alias("__rows"),
+        F.count_if("__after").alias("__after_stop"),
     )
     sizes = cells.groupBy("doc").agg((F.max("row") + 1).alias("__size"))
     found = F.col("header_row").isNotNull()
@@ -177,6 +179,7 @@ def extract_grid(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
             found.alias("header_found"),
             F.coalesce("__rows", F.lit(0)).alias("rows"),
             F.when(found, F.coalesce("__unparsed", F.lit(0))).otherwise(F.col("__size")).alias("unparsed"),
+            F.coalesce("__after_stop", F.lit(0)).alias("rows_after_stop"),
         )
     )
     return rows, report

@@ -190,11 +190,17 @@ def tenure_segments(tenures: DataFrame, windows: DataFrame) -> DataFrame:
     ``windows``: section_id, window_start, window_end. A tenure without a start cannot be
     placed and is left out; one without an end runs to the end of the window.
     """
-    placed = tenures.filter(F.col("start_date").isNotNull())
     spans = windows.filter(F.col("window_end") >= F.col("window_start"))
+    reach = spans.groupBy("section_id").agg(F.min("window_start").alias("__first"), F.max("window_end").alias("__last"))
+    since, until = F.greatest("start_date", "__first"), F.coalesce(F.least("end_date", "__last"), "__last")
+    dated = tenures.filter(F.col("start_date").isNotNull()).join(reach, "section_id").filter(since <= until)
+    # A tenure and a window meet in the year of their first common day, and only there.
+    placed = dated.withColumn("__year", F.explode(F.sequence(F.year(since), F.year(until)))).drop("__first", "__last")
+    yearly = spans.withColumn("__year", F.explode(F.sequence(F.year("window_start"), F.year("window_end"))))
     end = F.coalesce("end_date", "window_end")
     overlap = (F.col("start_date") <= F.col("window_end")) & (end >= F.col("window_start"))
-    joined = placed.join(spans, "section_id").filter(overlap)
+    first_common = F.year(F.greatest("start_date", "window_start"))
+    joined = placed.join(yearly, ["section_id", "__year"]).filter(overlap & (F.col("__year") == first_common)).drop("__year")
     window_days = F.datediff("window_end", "window_start") + 1
     clipped = joined.withColumn("from_date", F.greatest("start_date", "window_start")).withColumn(
         "to_date", F.least(end, F.col("window_end"))

@@ -244,10 +244,23 @@ def finding_violations(findings: DataFrame, rules: tuple, sections: DataFrame) -
     )
 
 
+def total_violations(entries: DataFrame, totals: DataFrame) -> DataFrame:
+    """Declared totals (``name``: a method, or ``entries`` for all; ``declared``) against the rows."""
+    methods = entries.groupBy("method").agg(F.count("*").alias("__n"))
+    held = methods.filter(F.col("method").isNotNull()).withColumnRenamed("method", "name").unionByName(
+        methods.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__n")).withColumn("name", F.lit("entries"))
+    )
+    said, found = F.coalesce("declared", F.lit(0)), F.coalesce("__n", F.lit(0))
+    wrong = totals.join(held, "name", "full_outer").filter(said != found)
+    return _as_violation(wrong, "entry_total", F.col("name"), F.concat_ws("/", said, found))
+
+
 def shard_violations(
-    entries: DataFrame, publications: DataFrame, index: DataFrame, window_start: str, shard: str = "section_id"
+    entries: DataFrame, publications: DataFrame, index: DataFrame, window_start: str, shard: str = "section_id",
+    totals: DataFrame | None = None,
 ) -> DataFrame:
-    """Shard and publication counts, duplicate ids, unknown publications, rows before the window."""
+    """Shard and publication counts, duplicate ids, unknown publications, rows before the window,
+    and the declared totals by method and overall where they are given."""
     held = entries.groupBy(F.coalesce(F.col(shard).cast("string"), F.lit("unattributed")).alias("shard_key")).agg(
         F.count("*").alias("__n")
     )
@@ -268,6 +281,7 @@ def shard_violations(
             _as_violation(datasets, "publication_count", F.col("dataset_id"), F.col("readable_entries")),
             _as_violation(early, "entry_window", F.col("entry_id"), F.col("date")),
             _as_violation(methods, "entry_method", F.col("entry_id"), F.coalesce("method", F.lit("missing"))),
+            *([total_violations(entries, totals)] if totals is not None else []),
         ]
     )
 

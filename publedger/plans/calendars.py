@@ -46,7 +46,7 @@ def _(spark, d):
 
 PROFILE = [
     "person_key", "section_id", "person_label", "person_role", "role_label", "covers_multiple", "entry_count", "dated_count",
-    "timed_count", "usable_count", "first_date", "last_date", "dataset_ids", "opacity_percent", "no_subject_percent",
+    "timed_count", "usable_count", "first_date", "last_date", "dataset_count", "opacity_percent", "no_subject_percent",
     "unclassified_percent", "unspecified_count", "no_subject_count", "unclassified_count",
 ]
 
@@ -59,6 +59,11 @@ def _(spark, d):
     return cal.person_profile(b.diary(spark, d)).select(*PROFILE)
 
 
+@query("c3_profile_datasets", "SELECT person_key, dataset_id, count(*) AS entry_count FROM diary WHERE dataset_id IS NOT NULL GROUP BY 1, 2")
+def _(spark, d):
+    return cal.profile_datasets(b.diary(spark, d))
+
+
 @query("c4_weekend_counts", "SELECT person_key, weekend_count, friday_count, saturday_count, weekend_other_count FROM prof")
 def _(spark, d):
     return cal.weekend_counts(b.diary(spark, d), PERSON)

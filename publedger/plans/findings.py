@@ -624,7 +624,9 @@ def _(spark, d):
        UNION ALL SELECT 'entry_publication', entry_id, dataset_id FROM e WHERE dataset_id = 'ds-3'
        UNION ALL SELECT 'publication_count', p.dataset_id, CAST(p.readable_entries AS VARCHAR) FROM p WHERE p.readable_entries <> (SELECT count(*) FROM e WHERE e.dataset_id = p.dataset_id)
        UNION ALL SELECT 'entry_window', entry_id, CAST(date AS VARCHAR) FROM e WHERE date < DATE '2024-01-03'
-       UNION ALL SELECT 'entry_method', entry_id, 'missing' FROM e WHERE method IS NULL""",
+       UNION ALL SELECT 'entry_method', entry_id, 'missing' FROM e WHERE method IS NULL
+       UNION ALL SELECT 'entry_total', method, n || '/' || m FROM (SELECT method, count(*) AS n, count(*) FILTER (entry_id NOT LIKE '%005') AS m FROM diary WHERE method IS NOT NULL GROUP BY 1) WHERE n <> m
+       UNION ALL SELECT 'entry_total', 'entries', (count(*) + 2) || '/' || count(*) FROM diary""",
 )
 def _(spark, d):
     diary = b.diary(spark, d)
@@ -638,7 +640,10 @@ def _(spark, d):
         }
     )
     publications = b.publications(spark, d).filter(F.col("dataset_id") != "ds-3")
-    return quality.shard_violations(entries, publications, index, "2024-01-03")
+    methods = diary.groupBy(F.col("method").alias("name")).agg(F.count("*").alias("declared"))
+    overall = methods.agg((F.sum("declared") + 2).alias("declared")).select(F.lit("entries").alias("name"), "declared")
+    totals = methods.filter(F.col("name").isNotNull()).unionByName(overall)
+    return quality.shard_violations(entries, publications, index, "2024-01-03", totals=totals)
 
 
 @query(

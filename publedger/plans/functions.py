@@ -357,12 +357,12 @@ NEEDLES = [b.hebraize_text(t) for t in ("the", "of the", "that", "with", "in", "
 
 @query(
     "t4_matches_as_word",
-    f"""SELECT entry_id, needle, {word_match("subject", "needle")} AS hit FROM slines, (VALUES {values([(n,) for n in NEEDLES])}) v(needle)""",
+    f"""SELECT entry_id, needle FROM slines, (VALUES {values([(n,) for n in NEEDLES])}) v(needle) WHERE {word_match("subject", "needle")}""",
 )
 def _(spark, d):
     lines = b.subject_lines(spark, d)
-    rows = lines.select("entry_id", "subject", F.explode(F.array(*[F.lit(n) for n in NEEDLES])).alias("needle"))
-    return rows.select("entry_id", "needle", text.matches_as_word("subject", "needle").alias("hit"))
+    held = F.filter(F.array(*[F.lit(n) for n in NEEDLES]), lambda n: text.matches_as_word("subject", n))
+    return lines.select("entry_id", F.explode(held).alias("needle"))
 
 
 ENTITY = """CASE c_custkey % 4 WHEN 0 THEN c_name || ' בע"מ' WHEN 1 THEN 'קבוצת ' || c_name || ' (החזקות) בע״מ' WHEN 2 THEN 'משרד ' || c_name ELSE 'משרדי ' || c_name || ' - ' || c_mktsegment END"""

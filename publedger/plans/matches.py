@@ -77,7 +77,7 @@ def positions(spark, d):
     k = F.col("c_custkey")
     return offices(spark, d).select(
         k.alias("position_id"),
-        (k % 700).alias("person_id"),
+        F.when(k % 14 == 13, F.lit(-1)).otherwise(k % 700).alias("person_id"),  # nobody has the id -1
         F.when(k % 9 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" duty "), (k % 4).cast("string"))).alias("duty"),
         F.col("office").alias("ministry_name"),
         F.when(k % 6 != 0, F.concat(F.lit("2023-0"), (k % 9 + 1).cast("string"), F.lit("-15T00:00:00"))).alias("start_date"),
@@ -87,18 +87,18 @@ def positions(spark, d):
 
 def persons(spark, d):
     k = F.col("p_partkey")
-    return b.read(spark, d, "part").filter(k < 650).select(
+    return b.read(spark, d, "part").select(
         k.alias("person_id"),
         F.when(k % 8 == 0, F.lit(" ")).otherwise(F.col("p_type")).alias("first_name"),
         F.when(k % 4 == 0, F.lit(None).cast("string")).otherwise(F.col("p_brand")).alias("last_name"),
     )
 
 
-POSITIONS = f"""SELECT c_custkey AS position_id, c_custkey % 700 AS person_id, CASE WHEN c_custkey % 9 = 0 THEN '' ELSE 'duty ' || (c_custkey % 4) END AS duty, office,
+POSITIONS = f"""SELECT c_custkey AS position_id, CASE WHEN c_custkey % 14 = 13 THEN -1 ELSE c_custkey % 700 END AS person_id, CASE WHEN c_custkey % 9 = 0 THEN '' ELSE 'duty ' || (c_custkey % 4) END AS duty, office,
     CASE WHEN c_custkey % 6 <> 0 THEN '2023-0' || (c_custkey % 9 + 1) || '-15' END AS start_date, CASE WHEN c_custkey % 2 <> 0 THEN '2024-05-06' END AS end_date FROM ({OFFICES})"""
 BUILT = f"""SELECT *, CASE WHEN person_name = '' OR person_name IS NULL THEN 'without_name' WHEN section_id IS NULL THEN 'without_section' WHEN duty = '' THEN 'without_role' ELSE 'tenure' END AS outcome FROM (
     SELECT p.*, n.section_id, q.person_name FROM ({POSITIONS}) p LEFT JOIN (SELECT {squeeze("alias")} AS name, arg_min(section_id, seq) AS section_id FROM ({ALIASES}) GROUP BY 1) n ON n.name = {squeeze("p.office")}
-    LEFT JOIN (SELECT p_partkey, concat_ws(' ', CASE WHEN p_partkey % 8 <> 0 THEN p_type END, CASE WHEN p_partkey % 4 <> 0 THEN p_brand END) AS person_name FROM part WHERE p_partkey < 650) q ON q.p_partkey = p.person_id)"""
+    LEFT JOIN (SELECT p_partkey, concat_ws(' ', CASE WHEN p_partkey % 8 <> 0 THEN p_type END, CASE WHEN p_partkey % 4 <> 0 THEN p_brand END) AS person_name FROM part) q ON q.p_partkey = p.person_id)"""
 
 
 @query(

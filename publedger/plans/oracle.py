@@ -304,7 +304,7 @@ COMMON: dict[str, str] = {
         SELECT c.person_key, arg_min(section_id, seq) AS section_id_x, any_value(section_id) AS section_id, any_value(role_label) AS role_label, arg_min(person_role, seq) AS person_role,
                CASE WHEN arg_min(shared, seq) THEN NULL ELSE any_value(person_label) END AS person_label, arg_min(shared, seq) AS covers_multiple,
                count(*) AS entry_count, count(date) AS dated_count, count(start_time) AS timed_count, count(*) FILTER (usable) AS usable_count,
-               min(date) AS first_date, max(date) AS last_date, string_agg(DISTINCT dataset_id, ', ' ORDER BY dataset_id) AS dataset_ids,
+               min(date) AS first_date, max(date) AS last_date, count(DISTINCT dataset_id) AS dataset_count,
                count(*) FILTER (category = 'unspecified') AS unspecified_count, count(*) FILTER (category = 'no_subject_recorded') AS no_subject_count,
                count(*) FILTER (category = 'unclassified') AS unclassified_count, count(*) FILTER (category = 'private_sector') AS private_sector_count,
                count(*) FILTER (category = 'media_pr') AS media_count,

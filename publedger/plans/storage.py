@@ -59,9 +59,9 @@ def _(spark, d):
 )
 def _(spark, d):
     path = fresh_path(spark, "grid")
-    rows = b.read(spark, d, "customer").select("c_mktsegment", "c_name").repartition(1)
+    rows = b.read(spark, d, "customer").select("c_mktsegment", "c_name")
     sinks.write_csv(rows, path)
-    grid = tables.read_csv_grid(spark, path)
+    grid = tables.one_header(tables.read_csv_grid(spark, path), rows.columns)
     first = grid.columns[0]
     kind = F.when(F.col(first) == "c_mktsegment", "header").otherwise("row")
     return grid.groupBy(F.col(first).alias("first_cell"), kind.alias("header")).agg(F.count("*").alias("n"))

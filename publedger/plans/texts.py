@@ -308,7 +308,8 @@ def _(spark, d):
 
 @query(
     "t24_grid_report",
-    f"""{GRID} SELECT g.doc, g.doc % 11 <> 0 AS header_found, count(v.row) FILTER (v.subject IS NOT NULL OR v.start_date IS NOT NULL) AS rows, CASE WHEN g.doc % 11 <> 0 THEN count(v.row) FILTER (v.subject IS NULL AND v.start_date IS NULL) ELSE max(g.row) + 1 END AS unparsed
+    f"""{GRID} SELECT g.doc, g.doc % 11 <> 0 AS header_found, count(v.row) FILTER (v.subject IS NOT NULL OR v.start_date IS NOT NULL) AS rows, CASE WHEN g.doc % 11 <> 0 THEN count(v.row) FILTER (v.subject IS NULL AND v.start_date IS NULL) ELSE max(g.row) + 1 END AS unparsed,
+          count(*) FILTER (g.doc % 11 <> 0 AND g.doc % 7 = 0 AND g.r > 4) AS rows_after_stop
         FROM g LEFT JOIN v ON v.doc = g.doc AND v.row = g.row GROUP BY 1""",
 )
 def _(spark, d):
@@ -344,6 +345,38 @@ def _(spark, d):
     )
 
 
+def printed_texts(spark, d):
+    """The printed calendars as texts; one holds the lines of a user's day."""
+    line = F.struct("pos", "line")
+    lines = b.text_lines(spark, d).groupBy("doc").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    return lines.select("doc", F.array_join("lines.line", "\n").alias("text"))
+
+
+ORDERED = f"{PARSED}, o AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY pos) AS place FROM p)"
+
+
+@query("t25_extract_texts", f"{ORDERED} SELECT doc, place AS pos, start_date, start_time, end_time, subject FROM o WHERE kind = 'row'")
+def _(spark, d):
+    return extract.extract_lines(printed_texts(spark, d))[0].withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(
+    "t25_text_report",
+    f"""{PARSED} SELECT p.doc, count(*) FILTER (kind = 'row') AS rows, count(*) FILTER (kind = 'unparsed') + any_value(CASE WHEN h.day IS NULL THEN 1 ELSE 0 END) AS unparsed FROM p JOIN h ON h.doc = p.doc GROUP BY 1""",
+)
+def _(spark, d):
+    return extract.extract_lines(printed_texts(spark, d))[1]
+
+
+@query(
+    "t25_build_entries",
+    f"""{ORDERED} SELECT doc, place AS pos, strftime(strptime(split_part(doc, '/', 2), '%Y%m%d'), '%Y-%m-%d') AS date, start_time, end_time, subject, false AS is_empty FROM o WHERE kind = 'row'""",
+)
+def _(spark, d):
+    entries = extract.build_entries(extract.extract_lines(printed_texts(spark, d))[0])
+    return entries.select("doc", F.col("pos").cast("long").alias("pos"), "date", "start_time", "end_time", "subject", "is_empty")
+
+
 @query(
     "t25_document_lines",
     f"""SELECT doc_id AS doc, count(*) AS n_lines FROM (SELECT doc_id, {squeeze("unnest(string_split_regex(text, chr(13) || '?' || chr(10)))")} AS line FROM documents) WHERE line <> '' GROUP BY 1""",

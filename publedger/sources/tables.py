@@ -43,6 +43,17 @@ def read_csv_grid(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn(first, F.regexp_replace(first, "^﻿", ""))
 
 
+def one_header(grid: DataFrame, header: list[str]) -> DataFrame:
+    """A grid read from the part files of one export, each with the header row: that row once.
+
+    A row of data that repeats the whole header cannot be told from one and goes with it.
+    """
+    is_header = F.lit(True)
+    for column, title in zip(grid.columns, header):
+        is_header = is_header & F.col(column).eqNullSafe(F.lit(title))
+    return grid.filter(~is_header).unionByName(grid.filter(is_header).limit(1))
+
+
 def read_csv_table(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
     """Quoted CSV with a header row as a table."""
     reader = spark.read.schema(schema) if schema is not None else spark.read

@@ -129,7 +129,7 @@ def test_middle_values_are_exact(spark):
     random.seed(3)
     data = {"a": [random.randint(-50, 50) for _ in range(501)], "b": [7] * 300 + [1e9], "c": [1.5, 2.5], "d": [4.0]}
     df = spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs], "g string, v double")
-    for r in common.middle_values(df, ["g"], "v", buckets=16).collect():
+    for r in common.middle_values(df, ["g"], "v").collect():
         ordered = sorted(data[r.g])
         assert (r.n, r.lo, r.hi) == (len(ordered), ordered[(len(ordered) - 1) // 2], ordered[len(ordered) // 2])
 
