@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from publedger import session
 from publedger.operators import classify, contracts, hierarchy, matching, spending
+from publedger.operators.common import first_per_group, middle_values
+from publedger.sources.sinks import write_csv
+from publedger.sources.tables import one_header, read_csv_grid
 
 
 def test_categories_are_numbered_without_a_cap_and_refused_at_the_limit(spark):
@@ -81,3 +84,22 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_folder(Session())
+
+
+def test_median_of_a_heavy_tail_is_exact_in_its_own_type(spark):
+    values = [*range(1, 2001), 2**53 + 1, 2**60, 2**61]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 7), ("b", None)], "g string, v long")
+    found = {r["g"]: (r["n"], r["lo"], r["hi"]) for r in middle_values(df, ["g"], "v").collect()}
+    assert found == {"a": (2003, 1002.0, 1002.0), "b": (1, 7.0, 7.0)}
+
+
+def test_first_rows_of_a_group_spread_over_many_tasks(spark):
+    df = spark.range(5000).select(F.lit("hot").alias("g"), "id").repartition(16)
+    kept = first_per_group(df, ["g"], [F.desc("id")], 300, rank="place").collect()
+    assert sorted((r["place"], r["id"]) for r in kept) == [(k + 1, 4999 - k) for k in range(300)]
+
+
+def test_header_of_several_part_files_is_kept_once(spark, tmp_path):
+    write_csv(spark.range(9).select("id", F.lit("x").alias("text")).repartition(3), str(tmp_path / "grid"))
+    grid = one_header(read_csv_grid(spark, str(tmp_path / "grid")), ["id", "text"])
+    assert sorted(r[0] for r in grid.collect()) == [*map(str, range(9)), "id"]
