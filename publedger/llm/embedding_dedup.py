@@ -8,11 +8,14 @@ probability. Vectors are joined on directions and each pair is verified in doubl
 meets on several directions counts on the smallest one only, so links are counted exactly without listing
 pairs; links between groups come out as spanning forests.
 
-The number of directions follows the number of vectors, so the load of one stays constant; the
-threshold is fitted on a bounded sample (``SAMPLE`` vectors), and each vector goes down from it until it has
-its ``DIRECTIONS`` best. Equal
+The number of directions follows the number of vectors, and the directions a vector keeps follow that
+number: after the random rotation any pair at the contract's cosine meets like a random pair at that
+cosine, so ``SIMULATED`` random pairs tell how many best directions of each vector let the share ``RECALL``
+of them meet (closer pairs meet more often). The threshold is fitted on the same vectors, and each
+vector goes down from it until it has its directions. Equal
 vectors are one row with a count before anything is emitted. A direction of more than ``CHUNK`` vectors is split
-into chunks that are compared two by two, each in its own task.
+into chunks that are compared two by two, each in its own task. Vectors are compared within their
+length, each length with a code of its own.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing, as do
 rows without vec_id and vectors whose length is not the most frequent one; rows that repeat a
@@ -27,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +40,17 @@ from publedger.llm.simhash import spanning_forest
 from publedger.session import cut_lineage
 
 COSINE = 0.9
-BLOCKS, SEED, SAMPLE = 3, 11, 256
-#: Directions of a vector, and directions of the code for each vector of the table.
-DIRECTIONS, DIRECTIONS_PER_VECTOR = 24, 4
+BLOCKS, SEED = 3, 11
+#: Share of the pairs at exactly the cosine of the contract that meet, and random pairs it is simulated with.
+RECALL, SIMULATED = 0.995, 2000
+#: Directions that a vector keeps at least, and directions of the code for each vector of the table.
+LEAST_DIRECTIONS = 24
+DIRECTIONS_PER_VECTOR = 1
+#: A code that asks more directions of each vector gets smaller books; fewer directions are wider apart.
+MANY_DIRECTIONS = 512
 STEP = 0.02
+#: Emitted rows of one Arrow batch.
+EMITTED_AT_ONCE = 24_000
 CHUNK = 2048
 #: Rows of an emitted table that one task verifies.
 ROWS_PER_TASK = 100_000
@@ -62,19 +73,44 @@ def valid_vectors(rows: DataFrame) -> DataFrame:
     return good.filter(F.length("v") == (lengths["n"] if lengths else 0))
 
 
+def simulated_pairs(dimensions: int, count: int, cosine: float, seed: int = SEED + 1) -> tuple[np.ndarray, np.ndarray]:
+    """Random unit vectors and for each another one at exactly this cosine."""
+    rng = np.random.default_rng(seed)
+    a = _unit(rng.normal(size=(count, dimensions)))
+    if dimensions == 1:
+        return a, a
+    b = rng.normal(size=(count, dimensions))
+    b = _unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+    return a, cosine * a + math.sqrt(max(0.0, 1 - cosine * cosine)) * b
+
+
 @dataclass
 class ProductCode:
-    """Books of block vectors behind a rotation, and the threshold of membership."""
+    """Books of block vectors behind a rotation, how many directions a vector keeps, and the threshold
+    from which it looks for them."""
 
     rotation: np.ndarray
     books: list[np.ndarray]
+    want: int = 1
     threshold: float = 0.0
 
     @classmethod
-    def random(cls, dimensions: int, directions: int, blocks: int = BLOCKS, seed: int = SEED) -> ProductCode:
+    def planned(cls, dimensions: int, count: int, cosine: float = COSINE) -> ProductCode:
+        """The code for ``count`` vectors, of which pairs at ``cosine`` meet in the share ``RECALL``."""
+        blocks = max(1, min(BLOCKS, dimensions // 2))  # a block of no component would tell nothing apart
+        size = max(2, math.ceil((DIRECTIONS_PER_VECTOR * count) ** (1 / BLOCKS)))
+        size = size if blocks == BLOCKS else min(size, 16)
+        a, b = simulated_pairs(dimensions, SIMULATED, cosine)
+        while True:
+            code = cls.random(dimensions, size, blocks).fitted(a, b)
+            if code.want <= MANY_DIRECTIONS or size == 2:
+                return code
+            size = max(2, size // 2)
+
+    @classmethod
+    def random(cls, dimensions: int, size: int, blocks: int = BLOCKS, seed: int = SEED) -> ProductCode:
         rng = np.random.default_rng(seed)
         rotation = np.linalg.qr(rng.normal(size=(dimensions, dimensions)))[0]
-        size = max(2, math.ceil(directions ** (1 / blocks)))
         books = []
         for part in np.array_split(np.arange(dimensions), blocks):
             book = rng.normal(size=(size, len(part)))
@@ -102,10 +138,13 @@ class ProductCode:
         return rows, code, score
 
     def members(self, unit: np.ndarray) -> np.ndarray:
-        """The ``DIRECTIONS`` best directions of every row, ascending. The threshold goes down from the
+        """The ``want`` best directions of every row, ascending."""
+        return np.sort(self.best(unit, self.want), axis=1)
+
+    def best(self, unit: np.ndarray, want: int) -> np.ndarray:
+        """The ``want`` best directions of every row, the best first. The threshold goes down from the
         fitted one for the rows that have too few, so close vectors go down together."""
         products = self.products(unit)
-        want = min(DIRECTIONS, math.prod(map(len, self.books)))
         out, left, threshold = np.zeros((len(unit), want), dtype=np.int64), np.arange(len(unit)), self.threshold
         while len(left):
             rows, codes, scores = self.decode([p[left] for p in products], threshold)
@@ -115,17 +154,40 @@ class ProductCode:
             enough = sizes >= want
             nth = np.arange(len(rows)) - (np.cumsum(sizes) - sizes)[rows]
             taken = enough[rows] & (nth < want)
-            out[left[enough]] = np.sort(codes[taken].reshape(-1, want), axis=1)
+            out[left[enough]] = codes[taken].reshape(-1, want)
             left, threshold = left[~enough], threshold - STEP
         return out
 
-    def fitted(self, unit: np.ndarray) -> ProductCode:
-        """With the threshold at which about one of four of these vectors has its directions."""
+    def lowered(self, unit: np.ndarray, want: int) -> ProductCode:
+        """With the threshold at which about one of four of these vectors has ``want`` directions."""
         products = self.products(unit)
-        threshold = max(sum(p.max(axis=1) for p in products), default=0.0)
-        while np.quantile(np.bincount(self.decode(products, threshold)[0], minlength=len(unit)), 0.75) < DIRECTIONS and threshold > -1:
+        threshold = max(sum(p.max(axis=1) for p in products))
+        while np.quantile(np.bincount(self.decode(products, threshold)[0], minlength=len(unit)), 0.75) < want and threshold > -1:
             threshold -= STEP
-        return ProductCode(self.rotation, self.books, threshold)
+        return ProductCode(self.rotation, self.books, want, threshold)
+
+    def fitted(self, a: np.ndarray, b: np.ndarray) -> ProductCode:
+        """With as many directions of each vector as let the share ``RECALL`` of the pairs (a, b) meet."""
+        every, want = math.prod(map(len, self.books)), LEAST_DIRECTIONS
+        while True:
+            code = self.lowered(a, min(want, every))
+            needed = np.quantile(_meeting(code.best(a, code.want), code.best(b, code.want)), RECALL, method="higher")
+            if needed <= code.want:
+                return self.lowered(a, min(every, max(LEAST_DIRECTIONS, int(needed))))
+            if code.want >= min(every, 2 * MANY_DIRECTIONS):
+                return code  # all directions there are, or more than ``planned`` takes
+            want *= 2
+
+
+def _meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For every pair how many of their best directions let the two meet; more than there are if none."""
+    want = a.shape[1]
+    out = np.full(len(a), want + 1)
+    for k, (x, y) in enumerate(zip(a, b)):
+        _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+        if len(i):
+            out[k] = 1 + np.maximum(i, j).min()
+    return out
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -160,43 +222,51 @@ def _counted_pairs(unit: np.ndarray, lists: np.ndarray, direction: int, middle:
 def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     """``rep, weight, root`` over ``classes`` (``rep, size, v``): rows whose weights sum to the vectors
     linked with those of ``rep`` (other than its copies), and whose (rep, root) connect what is linked."""
-    count = classes.count()
-    sample = classes.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("v").toArrow()
-    unit = _unit(_matrix(sample.column("v"))) if count else np.zeros((0, 1))
-    code = ProductCode.random(unit.shape[1], DIRECTIONS_PER_VECTOR * count)
-    code = code.fitted(unit) if count else code
-    sent = classes.sparkSession.sparkContext.broadcast(code)
+    lengths = classes.groupBy(F.length("v").alias("n")).agg(F.count("*").alias("rows")).collect()
+    counts = {r["n"]: r["rows"] for r in lengths if r["rows"] > 1}
+    codes = {n: ProductCode.planned(n // 8, rows, cosine) for n, rows in counts.items()}
+    count = sum(counts.values())
+    sent = classes.sparkSession.sparkContext.broadcast(codes)
     spread = cut_lineage(classes.repartition(max(classes.sparkSession.sparkContext.defaultParallelism, count // 20_000)), "vector-classes")
 
+    def parts(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+        """Rows of one length, and the directions of each."""
+        sizes = pc.binary_length(batch.column("v")).to_numpy(zero_copy_only=False)
+        for n in sorted(set(sizes.tolist()) & sent.value.keys()):
+            some, code = batch.take(pa.array(np.flatnonzero(sizes == n))), sent.value[n]
+            step = max(1, EMITTED_AT_ONCE // code.want)
+            for start in range(0, some.num_rows, step):
+                part = some.slice(start, step)
+                yield n, part, code.members(_unit(_matrix(part.column("v"))))
+
     def directions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        found = sent.value.members(_unit(_matrix(batch.column("v"))))
-        yield pa.RecordBatch.from_arrays([pa.array(found.ravel())], ["direction"])
+        for n, _, found in parts(batch):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(found.size, n, dtype=np.int32)), pa.array(found.ravel())], ["n", "direction"])
 
-    sizes = map_batches(spread.select("v"), directions, "direction long").groupBy("direction").agg(F.count("*").alias("n"))
-    heavy = cut_lineage(sizes.filter(F.col("n") > CHUNK).select("direction", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "heavy-directions")
+    named = map_batches(spread.select("v"), directions, "n int, direction long")
+    sizes = named.groupBy("n", "direction").agg(F.count("*").alias("rows"))
+    heavy = cut_lineage(sizes.filter(F.col("rows") > CHUNK).select("n", "direction", F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks")), "heavy-directions")
 
     def emit(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for start in range(0, batch.num_rows, 1000):
-            part = batch.slice(start, 1000)
-            found = sent.value.members(_unit(_matrix(part.column("v"))))
+        for n, part, found in parts(batch):
             lists = pa.array([row.tobytes() for row in found], pa.binary())
             at = pa.array(np.repeat(np.arange(len(found)), found.shape[1]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found.ravel()), part.column("rep").take(at), part.column("size").take(at), part.column("v").take(at), lists.take(at)],
-                ["direction", "rep", "size", "v", "list"],
+                [pa.array(np.full(found.size, n, dtype=np.int32)), pa.array(found.ravel()), part.column("rep").take(at), part.column("size").take(at), part.column("v").take(at), lists.take(at)],
+                ["n", "direction", "rep", "size", "v", "list"],
             )
 
-    emitted = map_batches(spread.select("rep", "size", "v"), emit, "direction long, rep long, size long, v binary, list binary")
-    chunked = emitted.join(heavy, "direction", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    emitted = map_batches(spread.select("rep", "size", "v"), emit, "n int, direction long, rep long, size long, v binary, list binary")
+    chunked = emitted.join(heavy, ["n", "direction"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
     others = F.sequence(F.lit(0), F.col("chunks") - 1)
     dealt = chunked.withColumn("own", own).withColumn("other", F.explode(others))
     dealt = dealt.select(
-        "direction", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        "n", "direction", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "size", "v", "list",
     )
-    tasks = max(classes.sparkSession.sparkContext.defaultParallelism, count * DIRECTIONS // ROWS_PER_TASK)
-    keys = ["direction", "i", "j"]
+    tasks = max(classes.sparkSession.sparkContext.defaultParallelism, sum(counts[n] * codes[n].want for n in codes) // ROWS_PER_TASK)
+    keys = ["n", "direction", "i", "j"]
     together = dealt.repartition(tasks, *keys).sortWithinPartitions(*keys, "side")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,19 +276,26 @@ def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
             held = more if held is None else pa.concat_tables([held, more])
             bounds = _bounds(held)
             if len(bounds) > 2:  # the last group may go on in the next batch
-                yield _linked(held.slice(0, int(bounds[-2])), bounds[:-1], cosine)
+                yield from _linked_by_length(held.slice(0, int(bounds[-2])), bounds[:-1], cosine)
                 held = held.slice(int(bounds[-2]))
         if held is not None and held.num_rows:
-            yield _linked(held, _bounds(held), cosine)
+            yield from _linked_by_length(held, _bounds(held), cosine)
 
     return together.mapInArrow(verify, "rep long, weight long, root long")
 
 
 def _bounds(rows: pa.Table) -> np.ndarray:
-    keys = np.stack([rows.column(c).to_numpy() for c in ("direction", "i", "j")])
+    keys = np.stack([rows.column(c).to_numpy() for c in ("n", "direction", "i", "j")])
     return np.concatenate([[0], 1 + np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)), [rows.num_rows]])
 
 
+def _linked_by_length(rows: pa.Table, bounds: np.ndarray, cosine: float) -> Iterator[pa.RecordBatch]:
+    n = rows.column("n").to_numpy()
+    cuts = [0, *(1 + np.flatnonzero(n[1:] != n[:-1])).tolist(), len(n)]
+    for start, end in zip(cuts[:-1], cuts[1:]):
+        yield _linked(rows.slice(start, end - start), bounds[(bounds >= start) & (bounds <= end)] - start, cosine)
+
+
 def _linked(rows: pa.Table, bounds: np.ndarray, cosine: float) -> pa.RecordBatch:
     unit = _unit(_matrix(rows.column("v")))
     i, j, side, direction = (rows.column(c).to_numpy() for c in ("i", "j", "side", "direction"))
@@ -246,12 +323,12 @@ def _linked(rows: pa.Table, bounds: np.ndarray, cosine: float) -> pa.RecordBatch
 def near_duplicates(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``rows`` (``vec_id, embedding``)."""
     vectors = valid_vectors(rows)
-    classes = cut_lineage(vectors.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")), "vector-classes")
+    classes = cut_lineage(vectors.groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("size")).withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
     found = cut_lineage(links(classes, cosine), "vector-links")
     weights = found.groupBy("rep").agg(F.sum("weight").alias("others"))
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
     rooted = cut_lineage(classes.join(roots, "rep", "left").join(weights, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "vector-roots")
-    first = cut_lineage(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "vector-components")
+    first = cut_lineage(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "vector-components")
     told = rooted.join(first, "root").select("v", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
     linked = vectors.join(cut_lineage(told, "vector-groups"), "v").select("vec_id", "n_links", "component_id")
     alone = _alone(rows, vectors)

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 
 from publedger.llm import components, embedding_dedup, simhash
@@ -120,3 +121,12 @@ def test_directions_split_into_chunks_count_the_same(spark, monkeypatch):
     whole = read()
     monkeypatch.setattr(embedding_dedup, "CHUNK", 3)
     assert read() == whole
+
+
+@pytest.mark.parametrize("count, dimensions", [(10_000, 64), (1_000_000, 32), (30_000_000, 64)])
+def test_pairs_at_the_threshold_meet_at_every_table_size(count, dimensions):
+    code = embedding_dedup.ProductCode.planned(dimensions, count)
+    a, b = embedding_dedup.simulated_pairs(dimensions, 1000, 0.9, seed=77)
+    assert np.allclose((a * b).sum(axis=1), 0.9)
+    met = np.mean([len(np.intersect1d(x, y)) > 0 for x, y in zip(code.members(a), code.members(b))])
+    assert met >= 0.98
