@@ -18,7 +18,7 @@ into chunks that are compared two by two, each in its own task. Vectors are comp
 length, each length with a code of its own.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing, as do
-rows without vec_id and vectors whose length is not the most frequent one; rows that repeat a
+rows without vec_id; vectors of different lengths never link; rows that repeat a
 vec_id are each returned and count as vectors; other columns, labels too, are ignored; an empty table gives an empty result.
 """
 
@@ -68,9 +68,7 @@ def valid_vectors(rows: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(out, pa.binary())], ["vec_id", "v"])
 
     packed = map_batches(rows.select(F.col("vec_id").cast("long"), "embedding"), pack, "vec_id long, v binary")
-    good = cut_lineage(packed.filter("vec_id is not null and v is not null"), "vectors")
-    lengths = good.groupBy(F.length("v").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").first()
-    return good.filter(F.length("v") == (lengths["n"] if lengths else 0))
+    return cut_lineage(packed.filter("vec_id is not null and v is not null"), "vectors")
 
 
 def simulated_pairs(dimensions: int, count: int, cosine: float, seed: int = SEED + 1) -> tuple[np.ndarray, np.ndarray]:

@@ -130,3 +130,22 @@ def test_pairs_at_the_threshold_meet_at_every_table_size(count, dimensions):
     assert np.allclose((a * b).sum(axis=1), 0.9)
     met = np.mean([len(np.intersect1d(x, y)) > 0 for x, y in zip(code.members(a), code.members(b))])
     assert met >= 0.98
+
+
+def test_every_vector_length_is_compared_within_itself(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(x) for x in rng.normal(size=16)]) for k in range(60)]
+    rows += [(100 + k, [float(x) for x in rng.normal(size=8)]) for k in range(40)]
+    rows += [(200, rows[3][1]), (201, rows[70][1]), (202, [x * 1.01 for x in rows[71][1]])]
+    rows += [(300, [1.0]), (301, [2.0]), (302, [-1.0]), (310, [1.0, 0.0]), (311, [1.0, 0.1]), (312, [0.0, 1.0]), (3, rows[75][1])]
+    unit = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    close = lambda i, j: len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.9
+    links = [(i, j) for i in range(len(rows)) for j in range(len(rows)) if close(i, j) or i == j]
+    group, degree = groups(links), Counter(i for i, j in links if i != j)
+    first = {}
+    for i, g in group.items():
+        first[g] = min(first.get(g, rows[i][0]), rows[i][0])
+    expected = Counter((rows[i][0], degree[i], first[group[i]]) for i in range(len(rows)))
+    found = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in found.collect()) == expected
+    assert sum(degree.values()) >= 12
