@@ -38,12 +38,11 @@ FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 #: Most labelled rows of each class that lexicon and model are learned from.
 SAMPLE = 25_000
 SHORTEST, LONGEST = 3, 10
-#: A term must stand in so many toxic texts, in such a share of them, and be so much likelier there.
-LEAST_DOCS, LEAST_SHARE, LEAST_LIFT = 3, 0.005, 20.0
-#: Evidence against chance, the log of how unlikely its split over the classes is; for some 100,000 tried terms.
+#: A term must stand in so many toxic texts, and be so much likelier there.
+LEAST_DOCS, LEAST_LIFT = 3, 20.0
+#: Evidence against chance, the log of how unlikely its split over the classes is; enough for some 100,000
+#: tried terms. Of more terms their log is asked, so that about one passes by chance at any size.
 LEAST_EVIDENCE = 11.5
-#: Most terms of a lexicon, the most telling first.
-MOST_TERMS = 20_000
 WINDOW_CHARS, WINDOW_WORDS = 60, 6
 QUOTES = re.compile("[\"“”„‟«»‹›]")
 WORD = re.compile(r"[^\W_]+")
@@ -282,13 +281,14 @@ def _evidence(bad: int, fine: int, share: float) -> float:
     return sum(n * math.log(n / total / p) for n, p in ((bad, share), (fine, 1 - share)) if n)
 
 
-def _lexicon(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> Lexicon:
-    """Telling terms: of every telling beginning the longest form that loses next to no toxic text."""
-    least = max(LEAST_DOCS, LEAST_SHARE * toxic)
+def _lexicon(counts: dict[str, tuple[int, int]], toxic: int, clean: int, tried: int) -> Lexicon:
+    """Telling terms: of every telling beginning the longest form that loses next to no toxic text.
+    ``tried`` is the number of terms that ``counts`` was chosen from."""
+    evidence = max(LEAST_EVIDENCE, math.log(max(1, tried)))
     good = {}
     for term, (bad, fine) in counts.items():
         lift = (bad / max(1, toxic)) / ((fine + 0.5) / max(1, clean))
-        if bad >= least and lift >= LEAST_LIFT and _evidence(bad, fine, toxic / max(1, toxic + clean)) >= LEAST_EVIDENCE:
+        if bad >= LEAST_DOCS and lift >= LEAST_LIFT and _evidence(bad, fine, toxic / max(1, toxic + clean)) >= evidence:
             good[term] = (bad, math.log(lift))
     children: dict[str, list[str]] = {}
     for term in good:
@@ -299,7 +299,7 @@ def _lexicon(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> Lexi
         children.setdefault(parent, []).append(term)
     words, stems = {}, {}
     tops = [t for t in good if not any("^" + t[1:n] in good for n in range(1 + SHORTEST, len(t) + (t[0] == "="))) or len(t) == 1 + SHORTEST and t[0] == "^"]
-    for term in sorted(tops, key=lambda t: (-good[t][0] * good[t][1], t))[:MOST_TERMS]:
+    for term in sorted(tops, key=lambda t: (-good[t][0] * good[t][1], t)):
         while longer := [c for c in children.get(term, ()) if good[c][0] >= 0.95 * good[term][0]]:
             term = max(longer, key=lambda c: (good[c][0], c))
         (words if term[0] == "=" else stems)[term[1:]] = good[term][1]
@@ -354,11 +354,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
     if not sum(toxic) or not sum(clean):
         share = 1.0 if sum(toxic) else 0.0
         return ToxicityModel(Lexicon({}, {}), np.array([0.0] * FEATURES + [30.0 if share else -30.0]))
-    rows = term_counts(sample)
+    rows = cut_lineage(term_counts(sample), "toxicity-terms")
+    tried = rows.count()
     lift = (F.col("n01") + F.col("n11")) / sum(toxic) / ((F.col("n00") + F.col("n10") + 0.5) / sum(clean))
     near = rows.filter(lift >= LEAST_LIFT / 8).collect()  # terms that any of the three lexicons can take; bounded by the sample
     counts = [{r["term"]: (r["n01"], r["n00"]) for r in near}, {r["term"]: (r["n11"], r["n10"]) for r in near}, {r["term"]: (r["n01"] + r["n11"], r["n00"] + r["n10"]) for r in near}]
-    lexicons = [_lexicon(c, t, n) for c, t, n in zip(counts, [*toxic, sum(toxic)], [*clean, sum(clean)])]
+    lexicons = [_lexicon(c, t, n, tried) for c, t, n in zip(counts, [*toxic, sum(toxic)], [*clean, sum(clean)])]
     for lexicon, own in zip(lexicons, _own_forms(sample, lexicons)):
         lexicon.own = own
 

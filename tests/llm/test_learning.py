@@ -109,6 +109,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r["predicted"] for r in clean) <= 0.05 * len(clean)
 
 
+def test_lexicon_keeps_every_term_of_enough_evidence_at_any_size():
+    rare = {f"=term{k:05}": (40, 0) for k in range(20_500)}
+    kept = tox._lexicon(rare, 25_000, 25_000, tried=50_000)
+    assert len(kept.words) == len(rare)
+    assert tox._lexicon({"=scoundrel": (3, 0)}, 600, 60_000, tried=1000).words.keys() == {"scoundrel"}
+    assert not tox._lexicon({"=chance": (20, 0)}, 25_000, 25_000, tried=10**9).words  # one of so many has this by chance
+    assert tox._lexicon({"=chance": (20, 0)}, 25_000, 25_000, tried=10**5).words
+
+
 def base_by_hand(rows):
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
     tokens = lambda t: [*lower(t or "").replace("\xa0", "ÿ").split(), ""]
