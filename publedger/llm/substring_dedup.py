@@ -1,13 +1,13 @@
-"""Repeated substrings by bucket-pointer refinement, as in suffix-array construction.
+"""Repeated substrings by anchored hashing (winnowing), in place of bucket-pointer refinement.
 
 A window is ``LENGTH`` bytes; bytes of windows that start anywhere else too are removed. The order of a
-window is never needed, only its bucket: the set of equal windows. Buckets start from 64-byte grams and
-are refined by the bucket identifiers at later offsets, doubled each time (64, 128, 256, then
-the whole), with identifiers of one level reused by the next; what is alone in its bucket is dropped.
+window is never needed, only its bucket: the set of equal windows. Identifiers are hashes of content, doubled
+inside a text (64, 128, 256 bytes, then the whole); nothing is grouped at the lengths between, as a row for
+every position would be many times the text. What is alone in its group of anchors, spans or windows is dropped.
 
 1. Every window has an anchor, its smallest gram by hash (the first of equal ones), so equal windows have
-   equal anchors at equal offsets. Anchors are one in 170 bytes. Their buckets are refined to the
-   160 bytes before or after, one of which every window of the anchor contains.
+   equal anchors at equal offsets. Anchors are one in 170 bytes. They are grouped by a hash of the
+   240 bytes from the anchor on or the 224 up to the end of its gram; every window of the anchor contains one.
 2. For the anchors left, windows go by blocks of 32 starts at equal offsets from the anchor. Blocks whose
    whole span stands elsewhere are done: all their windows repeat.
 3. Only where a bucket of anchors and offsets holds differing spans, one of them alone, the single windows
