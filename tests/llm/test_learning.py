@@ -141,6 +141,14 @@ def test_base_scores_equal_hand(spark, frequent):
     assert all(r["score"] < 0 for r in out)
 
 
+def test_end_of_text_counts_when_many_words_are_as_frequent(spark):
+    rows = [(k, " ".join(words(30, 1) * 20)) for k in range(6)]
+    docs = documents(spark, rows)
+    model = lm.train(docs.filter(~lm.is_held_out()), words=5, frequent=8)
+    out = lm.score(docs, model).collect()
+    assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in out) == base_by_hand(rows)
+
+
 def test_language_model_of_nothing(spark):
     docs = documents(spark, [(1, "some text"), (2, None)])
     out = lm.score(docs, lm.train(docs.limit(0))).collect()
