@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from publedger.llm import decontaminate, embedding_dedup, language_model, line_dedup, mixing, pii, simhash, substring_dedup, toxicity, warc
+from publedger.llm import (
+    chat_format,
+    conversation_trie,
+    decontaminate,
+    embedding_dedup,
+    language_model,
+    line_dedup,
+    mixing,
+    phrases,
+    pii,
+    simhash,
+    substring_dedup,
+    toxicity,
+    warc,
+)
 from publedger.llm.common import LOWER, UPPER, WORD_CLASS, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,3 +219,107 @@ def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select(
         "doc_id", language_model.is_held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
+
+
+@query(
+    "op11_phrases",
+    f"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang,
+               unnest(string_split_regex({_sql_lower("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+    ),
+    p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+    sizes AS (SELECT lang, w, unnest([1, 2, 3, 4]) AS k FROM p),
+    spots AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sizes WHERE len(w) >= k),
+    f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g, count(*) AS f FROM spots GROUP BY ALL),
+    totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+    cand AS (SELECT lang, k, g, string_split(g, ' ') AS w, f AS a FROM f WHERE k >= 2 AND f >= 30),
+    cuts AS (SELECT *, unnest(range(1, k)) AS c FROM cand),
+    measured AS (
+        SELECT cuts.*, l.f AS l, r.f AS r, (CAST(2000000 AS HUGEINT) * a) // (l.f + r.f) AS score FROM cuts
+        JOIN f l ON l.lang = cuts.lang AND l.g = array_to_string(w[1:c], ' ')
+        JOIN f r ON r.lang = cuts.lang AND r.g = array_to_string(w[c + 1:], ' ')
+    ),
+    lowest AS (SELECT * FROM measured QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1),
+    inner_sizes AS (SELECT lang, w, a, k, unnest(range(2, k)) AS m FROM cand WHERE k > 2),
+    inner_spots AS (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i FROM inner_sizes),
+    covers AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS g, max(a) AS longer FROM inner_spots GROUP BY ALL),
+    kept AS (SELECT lowest.* FROM lowest LEFT JOIN covers USING (lang, g) WHERE NOT coalesce(100 * longer >= 80 * a, false))
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+    FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+    """,
+)
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents")).drop("words")
+
+
+@query(
+    "op12_conversation_trie",
+    """
+    WITH t AS (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos FROM conversations WHERE conv_id IS NOT NULL
+    ),
+    own AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY pos) AS turns FROM t GROUP BY conv_id),
+    digits AS (SELECT conv_id, turns, list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))) AS d FROM own),
+    hashed AS (
+        SELECT conv_id, turns, xor(4294967295, list_reduce(d, lambda a, b: list_reduce(
+            list_prepend(xor(a, b), CAST(range(8) AS BIGINT[])), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))) % 6 AS h
+        FROM digits
+    ),
+    built AS (
+        SELECT h.conv_id, list_concat(coalesce(b.turns[1:h.h], []), h.turns[h.h + 1:]) AS turns
+        FROM hashed h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 100
+    ),
+    steps AS (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM built),
+    nodes AS (
+        SELECT turns[1:depth] AS path, depth, count(*) AS n_convs, min(conv_id) AS conv_id,
+               sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(turns) = depth), '')) AS ends_sha256
+        FROM steps GROUP BY 1, 2
+    ),
+    children AS (SELECT path[1:depth - 1] AS path, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+    worth AS (
+        SELECT nodes.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * length(path[depth].t) ELSE 0 END AS worth
+        FROM nodes LEFT JOIN children USING (path, depth)
+    ),
+    climbs AS (SELECT path, worth, n_children, unnest(range(0, depth + 1)) AS depth FROM worth),
+    subtrees AS (
+        SELECT path[1:depth] AS path, depth, CAST(sum(worth) AS BIGINT) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+        FROM climbs GROUP BY 1, 2
+    )
+    SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256
+    FROM worth w JOIN subtrees USING (path, depth) LEFT JOIN nodes p ON p.depth = w.depth - 1 AND p.path = w.path[1:w.depth - 1]
+    """,
+)
+def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns, ids = conversation_trie.mixed_histories(conversation_trie.hashed_turns(table(spark, folder, "conversations")))
+    return conversation_trie.prefix_trie(turns, ids).drop("node", "parent")
+
+
+#: The conversation that speaks in control strings.
+CONTROL_TURNS = [(-1, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+
+
+def _sql_escaped(expression: str) -> str:
+    pattern = chat_format.Template().pattern("")
+    return f"regexp_replace({expression}, '{pattern}', '\\1\\3\\\\\\2\\4', 'g')"
+
+
+@query(
+    "op13_chat_format",
+    f"""
+    WITH rows AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+    )
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum({sum(map(len, chat_format.Template().controls[:3]))} + length({_sql_escaped("role")}) + length({_sql_escaped("text")})) AS BIGINT) AS formatted_chars
+    FROM rows GROUP BY conv_id
+    """,
+)
+def op13_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    told = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn long, role string, text string")
+    return chat_format.read_back(chat_format.format_conversations(told.unionByName(more)))
