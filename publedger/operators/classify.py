@@ -115,8 +115,6 @@ def word_matches(texts: DataFrame, needles: DataFrame) -> DataFrame:
         .filter((F.col("needle") == F.col("anchor")) | matches_as_word("text", "needle"))
         .select("text_id", "needle")
     )
-    if not others.limit(1).count():
-        return by_run
     found = substring_matches(held, others, min_length=1).join(held, "text_id").filter(matches_as_word("text", "needle"))
     return by_run.unionByName(found.select("text_id", "needle"))
 

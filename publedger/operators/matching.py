@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,8 +21,10 @@ from publedger.functions.text import (
 from publedger.functions.titles import covers_multiple
 from publedger.operators.common import middle_values
 
-#: Characters of the runs that names of one or two words are anchored on.
+#: Characters of the runs that names of one word are anchored on.
 RUN = 6
+#: Characters of a word that its beginnings and ends are listed up to.
+EDGE = 16
 ALIAS_MIN_LENGTH = 4
 NAME_MIN_LENGTH = 6
 TIMING_WINDOW_DAYS = 90
@@ -32,26 +32,51 @@ TIMING_WINDOW_DAYS = 90
 MINISTRY_LEAD = "^(?:המשרד ל|משרד ה|משרד )"
 
 
-def _runs(text: str, size: int) -> Column:
-    """The distinct character runs of one length in a text."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(size))))
+def _runs(word: str, size: int) -> Column:
+    """The character runs of one length in a word; none if it is shorter."""
+    many = F.length(word) - size + 1
+    starts = F.when(many > 0, F.sequence(F.lit(1), many)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.substring(F.col(word), i, F.lit(size)))
 
 
-def _by_rarest(texts: DataFrame, needles: DataFrame, by: list[str]) -> DataFrame:
-    """Pairs ``text_id, *by, needle`` of texts that hold the needle's rarest piece.
+def _piece(kind: str, text: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), text.alias("piece"))
 
-    ``texts``: text_id, *by, pieces; ``needles``: *by, needle, pieces, all of which stand in any
-    text that holds the needle. A piece that many needles share costs nothing as long as each needle
-    has another one.
-    """
-    key = [*by, "piece"]
-    # explode_outer: an inner explode would have its array computed once more in a pushed filter.
-    in_text = texts.select("text_id", *by, F.explode_outer("pieces").alias("piece"))
-    in_needle = needles.select(*by, "needle", F.explode("pieces").alias("piece"))
-    counts = in_text.join(in_needle.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.count("*").alias("n"))
-    rarest = in_needle.join(counts, key).groupBy(*by, "needle").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
-    return in_text.join(rarest, key).select("text_id", *by, "needle")
+
+def _word_pieces(word: str, sizes: list[int]) -> Column:
+    """What a word can be met by: itself, its beginnings and ends, and its character runs of some lengths."""
+    lengths = F.sequence(F.lit(1), F.least(F.length(word), F.lit(EDGE)))
+    parts = [
+        F.array(_piece("whole", F.col(word))),
+        F.transform(lengths, lambda n: _piece("begins", F.substring(F.col(word), F.lit(1), n))),
+        F.transform(lengths, lambda n: _piece("ends", F.substring(F.col(word), -n, n))),
+        *[F.transform(_runs(word, size), lambda r: _piece("run", r)) for size in sizes],
+    ]
+    return F.array_distinct(F.concat(*parts))
+
+
+def _needle_pieces(needle: str) -> Column:
+    """Pieces that any text with the needle has a word for. An inner word stands whole, the first word
+    ends a word of the text, the last one begins one; a needle of one word lies inside a word."""
+    words = F.split(needle, " ")
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    edges = F.array(_piece("ends", F.right(F.element_at(words, 1), F.lit(EDGE))), _piece("begins", F.left(F.element_at(words, -1), F.lit(EDGE))))
+    length = F.least(F.length(needle), F.lit(RUN))
+    starts = F.sequence(F.lit(1), F.greatest(F.length(needle) - length + 1, F.lit(1)))
+    single = F.transform(starts, lambda i: _piece("run", F.substring(F.col(needle), i, length)))
+    pieces = F.when(F.size(words) > 1, F.concat(F.transform(inner, lambda w: _piece("whole", w)), edges)).otherwise(single)
+    return F.filter(F.array_distinct(pieces), lambda p: p["piece"] != "")
+
+
+def _stands_for(word: str, needle: str) -> Column:
+    """Whether a word with the needle's piece can be its place in a text."""
+    words, kind = F.split(needle, " "), F.col("kind")
+    return (
+        F.when(kind == "begins", F.startswith(F.col(word), F.element_at(words, -1)))
+        .when(kind == "ends", F.endswith(F.col(word), F.element_at(words, 1)))
+        .when(kind == "run", F.contains(F.col(word), F.col(needle)))
+        .otherwise(F.lit(True))
+    )
 
 
 def substring_matches(
@@ -59,27 +84,35 @@ def substring_matches(
 ) -> DataFrame:
     """Pairs ``text_id, *by, needle`` where the text contains the needle, within equal ``by``.
 
-    ``texts``: text_id (unique), *by, text. ``needles``: *by, needle (distinct here). A needle of three
-    or more words is anchored on its rarest inner word, which stands whole in any text that contains
-    the needle; a shorter one on its rarest run of ``RUN`` characters (or half of that, or ``min_length``,
-    if it is shorter). Only candidates are verified, so the work follows the matches and not text × names.
-    Text and needles must have single spaces; needles have at least ``min_length`` characters.
+    ``texts``: text_id (unique), *by, text. ``needles``: *by, needle (distinct here). Text and needles must
+    have single spaces; needles have at least ``min_length`` characters.
+
+    Only distinct words of the texts are cut into pieces. They are listed once with the number of texts
+    they stand in; every needle is resolved to the words that its rarest piece can stand for (an inner
+    word itself, words that end with its first or begin with its last word, words that hold a run of a
+    one-word needle), and texts meet needles through those words alone. A text gives at most one row for
+    each of its words, and only candidates are verified.
     """
     by = by or []
     pool = needles.select(*by, "needle").filter(F.length("needle") >= min_length).distinct()
     held = texts.select("text_id", *by, "text")
-    words = F.split("needle", " ")
-    inner = F.array_distinct(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))))
-    by_word = pool.filter(F.size(words) >= 3).withColumn("pieces", inner)
-    found = [_by_rarest(held.withColumn("pieces", F.array_distinct(F.split("text", " "))), by_word, by)]
-    short = pool.filter(F.size(words) < 3)
-    sizes = sorted({min(min_length, RUN), *(n for n in (RUN // 2, RUN) if n > min_length)})
-    for size, above in zip(sizes, [*sizes[1:], None]):
-        fits = F.length("needle") >= size if above is None else F.length("needle").between(size, above - 1)
-        mine = short.filter(fits).withColumn("pieces", _runs("needle", size))
-        found.append(_by_rarest(held.filter(F.length("text") >= size).withColumn("pieces", _runs("text", size)), mine, by))
-    pairs = reduce(DataFrame.unionByName, found)
-    return pairs.join(held.select("text_id", "text"), "text_id").filter(F.contains("text", F.col("needle"))).select("text_id", *by, "needle")
+    # explode_outer: an inner explode would have its array computed once more in a pushed filter.
+    in_text = held.select("text_id", *by, F.explode_outer(F.array_distinct(F.split("text", " "))).alias("word"))
+    listed = in_text.filter("word <> ''").groupBy(*by, "word").agg(F.count("*").alias("n"))
+    sizes = list(range(min(min_length, RUN), RUN + 1))
+    cut = listed.select(*by, "word", "n", F.explode(_word_pieces("word", sizes)).alias("p")).select(*by, "word", "n", "p.*")
+    asked = pool.select(*by, "needle", F.explode(_needle_pieces("needle")).alias("p")).select(*by, "needle", "p.*")
+    key = [*by, "kind", "piece"]
+    met = cut.join(asked.select(*key).distinct(), key, "left_semi")
+    costs = met.groupBy(*key).agg(F.sum("n").alias("cost"))
+    # A piece that no word has leaves its needle without a match, so it costs nothing to choose it.
+    priced = asked.join(costs, key, "left").withColumn("cost", F.coalesce("cost", F.lit(0)))
+    rarest = priced.groupBy(*by, "needle").agg(F.min_by(F.struct("kind", "piece"), F.struct("cost", "kind", "piece")).alias("p"))
+    chosen = rarest.select(*by, "needle", "p.*")
+    stands = met.select(*key, "word").join(chosen, key).filter(_stands_for("word", "needle")).select(*by, "word", "needle")
+    pairs = in_text.join(stands, [*by, "word"]).select("text_id", "needle").distinct()
+    verified = held.join(pairs, "text_id").filter(F.contains("text", F.col("needle")))
+    return verified.select("text_id", *by, "needle")
 
 
 def match_office(rows: DataFrame, office: str, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
