@@ -60,20 +60,26 @@ def name_candidates(rows: DataFrame, lexicon: DataFrame, holders: DataFrame) ->
     return shaped.join(known, "name", "left_anti").unionByName(labels.distinct()).distinct()
 
 
-def name_occurrences(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """``name, category, n``: rows in which the name stands as a phrase of whole words."""
+def name_matches(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """``text, name``: every distinct subject with the names that stand in it as words.
+
+    Tally, refusal and the longest name all read this relation; write it once where several do.
+    """
+    texts = weigh_subjects(rows).select(F.col("text").alias("text_id"), "text").distinct()
+    pairs = word_matches(texts, names.select(F.col("name").alias("needle")))
+    return pairs.select(F.col("text_id").alias("text"), F.col("needle").alias("name"))
+
+
+def name_occurrences(rows: DataFrame, names: DataFrame, matches: DataFrame | None = None) -> DataFrame:
+    """``name, category, n``: rows in which the name stands as a phrase of whole words.
+
+    ``matches``: a written :func:`name_matches` of these names.
+    """
     weighed = weigh_subjects(rows)
-    texts = weighed.select(F.col("text").alias("text_id"), "text").distinct()
-    tokens = F.split("text_id", " ")
-    long_words = F.filter(F.split("needle", " "), lambda w: F.length(w) > 1)
-    whole = (F.size(long_words) > 0) & (F.size(F.array_except(long_words, tokens)) == 0)
-    pairs = word_matches(texts, names.select(F.col("name").alias("needle"))).filter(whole)
-    return (
-        pairs.withColumnRenamed("text_id", "text")
-        .join(weighed, "text")
-        .groupBy(F.col("needle").alias("name"), "category")
-        .agg(F.sum("weight").alias("n"))
-    )
+    pairs = name_matches(weighed, names) if matches is None else matches
+    long_words = F.filter(F.split("name", " "), lambda w: F.length(w) > 1)
+    whole = (F.size(long_words) > 0) & (F.size(F.array_except(long_words, F.split("text", " "))) == 0)
+    return pairs.filter(whole).join(weighed, "text").groupBy("name", "category").agg(F.sum("weight").alias("n"))
 
 
 def decide_name_field(
@@ -97,19 +103,25 @@ def _is_open() -> Column:
     return F.col("category").isin(*NON_TOPIC_CATEGORIES) & ~F.col("category").isin(*CLOSED_CATEGORIES)
 
 
-def longest_name(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """``text, name``: the longest of the names that stands in each open subject."""
-    texts = weigh_subjects(rows).filter(_is_open()).select("text").distinct()
-    texts = texts.withColumn("text_id", F.col("text"))
-    pairs = word_matches(texts, names.select(F.col("name").alias("needle")))
-    order = F.struct(-F.length("needle"), F.col("needle"))
-    return pairs.groupBy(F.col("text_id").alias("text")).agg(F.min_by("needle", order).alias("name"))
+def longest_name(rows: DataFrame, names: DataFrame, matches: DataFrame | None = None) -> DataFrame:
+    """``text, name``: the longest of the names that stands in each open subject.
+
+    ``matches``: a written :func:`name_matches` of these names, or of more of them.
+    """
+    open_texts = weigh_subjects(rows).filter(_is_open()).select("text").distinct()
+    if matches is None:
+        pairs = name_matches(open_texts.select("text", F.lit(1).alias("weight")), names)
+    else:
+        pairs = matches.join(names.select("name"), "name", "left_semi").join(open_texts, "text", "left_semi")
+    return pairs.groupBy("text").agg(F.min_by("name", F.struct(-F.length("name"), F.col("name"))).alias("name"))
 
 
-def refuse_overreach(rows: DataFrame, decided: DataFrame, limit: int = MAX_EXTRAPOLATION) -> DataFrame:
+def refuse_overreach(
+    rows: DataFrame, decided: DataFrame, limit: int = MAX_EXTRAPOLATION, matches: DataFrame | None = None
+) -> DataFrame:
     """Decided names that would relabel more rows than ``limit`` times their evidence."""
     weighed = weigh_subjects(rows)
-    hits = longest_name(weighed, decided)
+    hits = longest_name(weighed, decided, matches)
     weights = weighed.filter(_is_open()).groupBy("text").agg(F.sum("weight").alias("__w"))
     reach = hits.join(weights, "text").groupBy("name").agg(F.sum("__w").alias("would_touch"))
     return (
@@ -120,7 +132,12 @@ def refuse_overreach(rows: DataFrame, decided: DataFrame, limit: int = MAX_EXTRA
 
 
 def apply_inference(
-    rows: DataFrame, candidates: DataFrame, decided: DataFrame, refused: DataFrame, weighed: DataFrame | None = None
+    rows: DataFrame,
+    candidates: DataFrame,
+    decided: DataFrame,
+    refused: DataFrame,
+    weighed: DataFrame | None = None,
+    matches: DataFrame | None = None,
 ) -> DataFrame:
     """Rows with the field of the longest accepted name in them, at low confidence.
 
@@ -129,7 +146,7 @@ def apply_inference(
     """
     accepted = decided.join(refused.select("name"), "name", "left_anti")
     fields = accepted.select("name", F.col("category").alias("__field"))
-    hits = longest_name(rows if weighed is None else weighed, accepted).join(fields, "name")
+    hits = longest_name(rows if weighed is None else weighed, accepted, matches).join(fields, "name")
     people = candidates.join(decided.select("name"), "name", "left_anti").select(
         F.col("name").alias("text"), F.lit(True).alias("__person")
     )
@@ -158,12 +175,16 @@ def inference_totals(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.coalesce("inferred_from", F.lit("none")).alias("inferred_from")).agg(F.count("*").alias("n"))
 
 
-def infer_names(rows: DataFrame, lexicon: DataFrame, holders: DataFrame) -> DataFrame:
-    """Candidates → occurrences → decisions → refusals → rows, in one call.
-
-    Subjects, candidates and decisions each feed several later steps, so they are written once.
-    """
+def name_evidence(rows: DataFrame, lexicon: DataFrame, holders: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Weighed subjects, candidates, and the one relation of their matches, each written once."""
     weighed = cut_lineage(weigh_subjects(rows), "subjects")
     candidates = cut_lineage(name_candidates(weighed, lexicon, holders), "candidates")
-    decided = cut_lineage(decide_name_field(name_occurrences(weighed, candidates)), "decided")
-    return apply_inference(rows, candidates, decided, refuse_overreach(weighed, decided), weighed)
+    return weighed, candidates, cut_lineage(name_matches(weighed, candidates), "name-matches")
+
+
+def infer_names(rows: DataFrame, lexicon: DataFrame, holders: DataFrame) -> DataFrame:
+    """Candidates → occurrences → decisions → refusals → rows, in one call."""
+    weighed, candidates, matches = name_evidence(rows, lexicon, holders)
+    decided = cut_lineage(decide_name_field(name_occurrences(weighed, candidates, matches)), "decided")
+    refused = refuse_overreach(weighed, decided, matches=matches)
+    return apply_inference(rows, candidates, decided, refused, weighed, matches)

@@ -369,12 +369,11 @@ COMMON: dict[str, str] = {
         SELECT doc_id || '-' || (i - 1) AS entry_id, parts[i] AS subject FROM (
           SELECT doc_id, string_split({heb("text")}, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)""",
     "nrows": f"""
-        SELECT CASE WHEN l_linenumber <= 2 THEN name WHEN l_linenumber = 3 THEN '{hebraize_text("call ")}ל' || name WHEN l_linenumber = 4 THEN name || '{hebraize_text(" and team")}'
+        SELECT CASE WHEN l_linenumber <= 2 THEN name WHEN ln % 4 = 0 AND l_linenumber > 3 AND l_quantity <> 2 THEN '{hebraize_text("meet ")} 7' WHEN l_linenumber = 3 THEN '{hebraize_text("call ")}ל' || name WHEN l_linenumber = 4 THEN name || '{hebraize_text(" and team")}'
                  ELSE '{hebraize_text("meet ")}' || name || ' 7' END AS subject,
                CASE WHEN l_linenumber <= 2 THEN 'unclassified' WHEN l_linenumber = 3 THEN 'meeting_without_subject' WHEN l_quantity > 40 THEN 'ceremonies'
                  WHEN ln % 5 = 0 AND l_quantity > 15 THEN 'media_pr' ELSE ['diplomacy', 'budget_finance', 'local_government'][ln % 3 + 1] END AS category
-        FROM lineitem JOIN (SELECT p_partkey, {heb("p_name")} AS name, length(p_name) AS ln FROM part) ON p_partkey = l_partkey
-        WHERE ln % 4 <> 0 OR l_linenumber <= 3 OR l_quantity = 2""",
+        FROM lineitem JOIN (SELECT p_partkey, {heb("p_name")} AS name, length(p_name) AS ln FROM part) ON p_partkey = l_partkey""",
     "holders": f"""
         SELECT '{hebraize_text("head nation ")}' || translate(CAST(n_nationkey AS VARCHAR), '0123456789', 'אבגדהוזחטי') AS person_label FROM nation""",
 }

@@ -214,19 +214,20 @@ def _(spark, d):
     return inference.name_occurrences(b.named_rows(spark, d), candidates(spark, d))
 
 
-def decisions(spark, d):
-    rows = b.named_rows(spark, d)
-    return cut_lineage(inference.decide_name_field(inference.name_occurrences(rows, candidates(spark, d))), "decided")
+def evidence(spark, d):
+    return inference.name_evidence(b.named_rows(spark, d), b.lexicon(spark), b.office_holders(spark, d))
 
 
 @query("x9_decide_name_field", f"{BASE} SELECT * FROM decided")
 def _(spark, d):
-    return inference.decide_name_field(inference.name_occurrences(b.named_rows(spark, d), candidates(spark, d)))
+    return inference.decide_name_field(inference.name_occurrences(*evidence(spark, d)))
 
 
 @query("x10_refuse_overreach", f"{BASE} SELECT * FROM refused")
 def _(spark, d):
-    return inference.refuse_overreach(b.named_rows(spark, d), decisions(spark, d))
+    weighed, names, matches = evidence(spark, d)
+    decided = cut_lineage(inference.decide_name_field(inference.name_occurrences(weighed, names, matches)), "decided")
+    return inference.refuse_overreach(weighed, decided, matches=matches)
 
 
 APPLIED = f"""{BASE}, hit AS ({_longest("(SELECT * FROM decided WHERE name NOT IN (SELECT name FROM refused))")}),

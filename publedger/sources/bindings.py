@@ -563,7 +563,10 @@ def subject_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def named_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows that hold a name alone, and rows that hold it beside a classified topic."""
+    """Rows that hold a name alone, rows that hold it beside a classified topic, and rows without one.
+
+    Some names have few classified rows that mention them, so that inference has to refuse them.
+    """
     parts = read(spark, folder, "part").select("p_partkey", hebraize("p_name").alias("name"), F.length("p_name").alias("len"))
     rows = read(spark, folder, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
     n, q = F.col("l_linenumber"), F.col("l_quantity")
@@ -581,12 +584,12 @@ def named_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
     subject = (
         F.when(alone, F.col("name"))
+        .when(few & (n > 3) & (q != 2), F.lit(hebraize_text("meet ") + " 7"))
         .when(n == 3, F.concat(F.lit(hebraize_text("call ") + "ל"), F.col("name")))
         .when(n == 4, F.concat(F.col("name"), F.lit(hebraize_text(" and team"))))
         .otherwise(F.concat(F.lit(hebraize_text("meet ")), F.col("name"), F.lit(" 7")))
     )
-    kept = rows.filter(~few | (n <= 3) | (q == 2))
-    return kept.select(
+    return rows.select(
         subject.alias("subject"),
         category.alias("category"),
         F.lit(None).cast("string").alias("matched_keyword"),
