@@ -27,42 +27,52 @@ def mark_leaves(df: DataFrame, by: list[str] = YEAR_KEY) -> DataFrame:
     return df.join(parents, [*by, "code"], "left").withColumn("is_leaf", F.col("__named").isNull()).drop("__named")
 
 
+def ancestor_chains(nodes: DataFrame, by: list[str], most: int) -> DataFrame:
+    """``*by, code, codes, titles`` of every node: itself and all above it, nearest first.
+
+    ``nodes``: *by, code, title, parent_code, one row a code. Chains double by pointer jumping: a round
+    appends to each chain the chain of its last code's parent, so ``most`` levels take log2(most) rounds.
+    A chain that meets a code twice ends before it; one that is still open after all rounds is refused.
+    """
+    chains = nodes.select(
+        *by, "code", F.array("code").alias("codes"), F.array("title").alias("titles"), F.col("parent_code").alias("next")
+    )
+    reach = 1
+    while True:
+        # The other side of the jump, so that a chain is looked up by the code it goes on with.
+        above = chains.select(*by, F.col("code").alias("next"), F.struct("codes", "titles", "next").alias("up"))
+        joined = chains.join(above, [*by, "next"], "left")
+        codes = F.concat("codes", F.coalesce("up.codes", F.array().cast("array<string>")))
+        titles = F.concat("titles", F.coalesce("up.titles", F.array().cast("array<string>")))
+        # A chain runs into a circle only once, so its distinct codes are its beginning.
+        distinct = F.array_distinct(codes)
+        circles = F.size(distinct) < F.size(codes)
+        jumped = joined.select(
+            *by, "code", distinct.alias("codes"), F.slice(titles, F.lit(1), F.size(distinct)).alias("titles"),
+            F.when(~circles, F.col("up.next")).alias("next"),
+        )
+        chains, reach = cut_lineage(jumped, "budget-chains"), 2 * reach
+        if not chains.filter(F.col("next").isNotNull()).limit(1).count():
+            return chains.drop("next")
+        if reach >= most:
+            raise ValueError(f"the hierarchy is deeper than {most} levels")
+
+
 def hierarchy_path(df: DataFrame, by: list[str] = YEAR_KEY, most: int = MOST_LEVELS) -> DataFrame:
     """``path``: titles from the root to the row; a code met twice ends the walk.
 
-    Codes, not rows, walk up, one level in each round and all the way; deeper trees than ``most``
-    levels are refused. Of rows that repeat a code the last by title names it.
+    Codes, not rows, walk up; deeper trees than ``most`` levels are refused. Of rows that repeat a
+    code the last by title names it.
     """
     node = F.max(F.struct("title", "parent_code"))
     nodes = df.filter(F.col("title").isNotNull()).groupBy(*by, "code").agg(node.alias("__node"))
     nodes = cut_lineage(nodes.select(*by, "code", "__node.*"), "budget-codes")
-    step = nodes.select(*by, F.col("code").alias("__up"), F.col("title").alias("__title"), F.col("parent_code").alias("__next"))
-    start = df.select(*by, "code", F.col("parent_code").alias("__first")).distinct()
-    walking = start.filter(F.col("__first").isNotNull()).select(
-        *by, "code", "__first", F.col("__first").alias("__up"), F.array("code").alias("__seen"), F.array().cast("array<string>").alias("__above")
-    )
-    done: DataFrame | None = None
-    for _ in range(most):
-        met = walking.join(step, [*by, "__up"]).filter(~F.array_contains("__seen", F.col("__up")))
-        met = cut_lineage(
-            met.select(
-                *by, "code", "__first", F.col("__next").alias("__up"), F.concat("__seen", F.array("__up")).alias("__seen"),
-                F.concat(F.array("__title"), "__above").alias("__above"),
-            ),
-            "budget-paths",
-        )
-        if not met.limit(1).count():
-            break
-        done = met if done is None else done.unionByName(met)
-        walking = met.filter(F.col("__up").isNotNull())
-    else:
-        raise ValueError(f"the hierarchy is deeper than {most} levels")
-    if done is None:
-        return df.withColumn("path", F.array("title"))
-    longest = done.groupBy(*by, "code", "__first").agg(F.max_by("__above", F.size("__above")).alias("__above"))
-    walked = df.withColumn("__first", F.col("parent_code")).join(longest, [*by, "code", "__first"], "left")
-    above = F.coalesce("__above", F.array().cast("array<string>"))
-    return walked.withColumn("path", F.concat(above, F.array("title"))).drop("__above", "__first")
+    chains = ancestor_chains(nodes, by, most).select(*by, F.col("code").alias("parent_code"), F.col("codes").alias("__codes"), F.col("titles").alias("__titles"))
+    walked = df.join(chains, [*by, "parent_code"], "left")
+    own = F.array_position("__codes", F.col("code"))
+    above = F.when(own > 0, F.slice("__titles", F.lit(1), (own - 1).cast("int"))).otherwise(F.col("__titles"))
+    path = F.concat(F.reverse(F.coalesce(above, F.array().cast("array<string>"))), F.array("title"))
+    return walked.withColumn("path", path).select(*[F.col(f"`{c}`") for c in df.columns if c != "path"], "path")
 
 
 def _text(name: str) -> Column:
