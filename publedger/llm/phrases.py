@@ -7,7 +7,7 @@ the next ones a quotient, all the rest is the remainder: a filter keeps a unary
 quotient, the full remainders and the counts, sorted, so it is a lossless counter and two filters are
 merged by merging sorted runs. Every task fills filters over its share of the corpus, the filters of a
 shard meet in one group of bounded size, and only phrases that reach ``least`` leave it, decoded by the
-inverse permutation. Scores, cuts and containment are joins over those phrases.
+inverse permutation. Pairs are counted before longer phrases, whose pairs must all be frequent. Scores, cuts and containment are joins over those phrases.
 
 The texts are read once. They are written as chunks of local word codes with the chunk's own dictionary,
 and only dictionaries, never single words of the texts, meet the vocabulary, so a frequent word is one row
@@ -48,6 +48,9 @@ CHUNK_TOKENS = 1 << 20
 PENDING = 1 << 22
 PER_SHARD = 1 << 22
 LEAST_SHARD_BITS = 8
+#: Bits of the bitmap of frequent pairs, and of one block of it.
+PAIR_BITS = 27
+BLOCK_BITS = 16
 ROUND_KEYS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
 _FOLDED = bytes.maketrans(UPPER.encode() + b"\t" + BREAKS, LOWER.encode() + b" " + BREAK * len(BREAKS))
@@ -237,25 +240,42 @@ class QuotientFilter:
         return cls(layout, hi, _long(parts[3], n, layout.half), counts)
 
 
-def phrases_of(ids: np.ndarray, bits: int, starts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The packed halves of all phrases of two to four words that begin in the first ``starts`` places; id 0 breaks them."""
+def pair_places(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Places of word pairs in a bitmap of ``PAIR_BITS`` bits."""
+    mixed = _mixed(first.astype(np.uint64), ROUND_KEYS[0]) ^ second.astype(np.uint64)
+    return (_mixed(mixed, ROUND_KEYS[1]) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
+
+def phrases_of(ids: np.ndarray, bits: int, starts: int, sizes: tuple[int, ...], pairs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The packed halves of all phrases of the given sizes that begin in the first ``starts`` places.
+
+    Id 0 breaks phrases, and so does a pair of words that ``pairs`` (a bitmap as bytes) does not hold.
+    """
+    linked = (ids[:-1] > 0) & (ids[1:] > 0)
+    if pairs is not None:
+        at = np.flatnonzero(linked)
+        place = pair_places(ids[at], ids[at + 1])
+        linked[at] = (pairs[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
     heads, tails = [], []
     shift = np.uint64(bits)
-    for n in range(2, MOST_WORDS + 1):
+    for n in sizes:
         many = max(0, min(starts, len(ids) - n + 1))
-        at = [ids[k : k + many] for k in range(n)]
-        whole = np.logical_and.reduce([a > 0 for a in at])
-        w = [a[whole].astype(np.uint64) for a in at] + [np.uint64(0)] * (MOST_WORDS - n)
+        begin = np.flatnonzero(np.logical_and.reduce([linked[k : k + many] for k in range(n - 1)]))
+        w = [ids[begin + k].astype(np.uint64) for k in range(n)] + [np.uint64(0)] * (MOST_WORDS - n)
         heads.append((w[0] << shift) | w[1])
         tails.append(np.broadcast_to((w[2] << shift) | w[3], heads[-1].shape))
     return np.concatenate(heads), np.concatenate(tails)
 
 
 def _filled(layout: Layout, heads: list[np.ndarray], tails: list[np.ndarray]) -> pa.RecordBatch:
-    """One filter for every shard that the phrases reach."""
-    hi, lo = scramble(np.concatenate(heads), np.concatenate(tails), layout.half)
-    shard = (hi >> np.uint64(layout.rest)).astype(np.int64)
-    order = np.argsort(shard.astype(np.uint16) if layout.shard <= 16 else shard, kind="stable")
+    """One filter for every shard that the phrases reach. The lists are emptied."""
+    hi, lo = np.concatenate(heads), np.concatenate(tails)
+    heads.clear()
+    tails.clear()
+    hi, lo = scramble(hi, lo, layout.half)
+    kind = np.uint16 if layout.shard <= 16 else np.int64  # short integers are sorted by radix
+    shard = (hi >> np.uint64(layout.rest)).astype(kind)
+    order = np.argsort(shard, kind="stable")
     shard, hi, lo = shard[order], hi[order] & np.uint64((1 << layout.rest) - 1), lo[order]
     cuts = np.flatnonzero(np.diff(shard)) + 1 if len(shard) else []
     names, blobs = [], []
@@ -267,20 +287,53 @@ def _filled(layout: Layout, heads: list[np.ndarray], tails: list[np.ndarray]) ->
 
 
 def frequent_phrases(chunks: DataFrame, words: DataFrame, least: int = LEAST) -> DataFrame:
-    """``w1 .. w4, f``: word ids (0 after the last) and count of every phrase that reaches ``least``."""
+    """``w1 .. w4, f``: word ids (0 after the last) and count of every phrase that reaches ``least``.
+
+    Pairs are counted first. Longer phrases are counted only where all their pairs reach ``least``, as a
+    bitmap of fixed size says: a pair that falls on another one's bit costs a counter and no more.
+    """
     largest = words.agg(F.max("id")).first()[0] or 1
-    occurrences = (MOST_WORDS - 1) * (chunks.agg(F.sum("tokens")).first()[0] or 0)
+    occurrences = chunks.agg(F.sum("tokens")).first()[0] or 0
     bits = int(largest).bit_length()
     if bits > 32:
         raise ValueError(f"{largest} words of {least} or more occurrences do not fit four ids into two words of 64 bits")
-    half = 2 * bits
-    layout = Layout(half, min(half, max(LEAST_SHARD_BITS, (occurrences // PER_SHARD).bit_length())))
 
     held = chunks.select("chunk", "lang", F.posexplode("words").alias("code", "word"))
     named = held.join(words.select("lang", "word", "id"), ["lang", "word"])
     local = named.groupBy("chunk").agg(F.collect_list(F.struct("code", "id")).alias("known"))  # at most a chunk's dictionary
     ready = chunks.select("chunk", "wide", "codes", F.size("words").alias("size")).join(local, "chunk")
-    ready = ready.select("wide", "codes", "size", F.col("known.code").alias("code"), F.col("known.id").alias("id"))
+    ready = cut_lineage(ready.select("wide", "codes", "size", F.col("known.code").alias("code"), F.col("known.id").alias("id")), "phrase-sequences")
+    twos = cut_lineage(counted(ready, bits, occurrences, (2,), least), "phrase-pairs")
+    longer = counted(ready, bits, 2 * occurrences, (3, 4), least, pair_bitmap(twos))
+    return twos.unionByName(longer)
+
+
+def pair_bitmap(twos: DataFrame) -> np.ndarray:
+    """A bitmap of ``PAIR_BITS`` bits (16 MB at any size of the corpus) with the places of all pairs in ``twos``."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = pair_places(*(batch.column(k).to_numpy() for k in range(2)))
+            yield pa.RecordBatch.from_arrays([pa.array(place >> BLOCK_BITS), pa.array(place & ((1 << BLOCK_BITS) - 1))], names=["block", "place"])
+
+    def block(group: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << BLOCK_BITS, np.uint8)
+        bits[group.column("place").to_numpy()] = 1
+        return pa.table({"block": group.column("block")[:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    spots = twos.select("w1", "w2").mapInArrow(places, "block long, place long").distinct()
+    out = np.zeros(1 << (PAIR_BITS - 3), np.uint8).reshape(-1, 1 << (BLOCK_BITS - 3))
+    for row in spots.groupBy("block").applyInArrow(block, "block long, bits binary").collect():
+        out[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def counted(ready: DataFrame, bits: int, occurrences: int, sizes: tuple[int, ...], least: int, pairs: np.ndarray | None = None) -> DataFrame:
+    """Phrases of the given sizes that reach ``least``, by filters filled in tasks and merged by shard."""
+    half = 2 * bits
+    layout = Layout(half, min(half, max(LEAST_SHARD_BITS, (occurrences // PER_SHARD).bit_length())))
+    shared = ready.sparkSession.sparkContext.broadcast(pairs)
+    chunk_tokens, most_pending = CHUNK_TOKENS, PENDING
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads, tails, pending = [], [], 0
@@ -290,14 +343,14 @@ def frequent_phrases(chunks: DataFrame, words: DataFrame, least: int = LEAST) ->
                 to_id[batch.column("code")[k].values.to_numpy() + 1] = batch.column("id")[k].values.to_numpy()
                 kind = np.int32 if batch.column("wide")[k].as_py() else np.uint16
                 ids = to_id[np.frombuffer(batch.column("codes")[k].as_buffer(), kind)]
-                for begin in range(0, len(ids), CHUNK_TOKENS):  # a very long text is counted part by part
-                    head, tail = phrases_of(ids[begin : begin + CHUNK_TOKENS + MOST_WORDS], bits, CHUNK_TOKENS)
+                for begin in range(0, len(ids), chunk_tokens):  # a very long text is counted part by part
+                    head, tail = phrases_of(ids[begin : begin + chunk_tokens + MOST_WORDS], bits, chunk_tokens, sizes, shared.value)
                     heads.append(head)
                     tails.append(tail)
                     pending += len(head)
-                    if pending >= PENDING:
+                    if pending >= most_pending:
                         yield _filled(layout, heads, tails)
-                        heads, tails, pending = [], [], 0
+                        pending = 0
         if pending:
             yield _filled(layout, heads, tails)
 
