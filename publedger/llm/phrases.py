@@ -45,7 +45,7 @@ BREAKS = b".,;:!?\n\x0b\x0c\r"
 BREAK = b"\xff"
 CHUNK_TOKENS = 1 << 20
 #: Phrases counted at once in a task, and phrase occurrences a shard may hold at most.
-PENDING = 1 << 22
+PENDING = 1 << 21
 PER_SHARD = 1 << 22
 LEAST_SHARD_BITS = 8
 #: Bits of the bitmap of frequent pairs, and of one block of it.
