@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from publedger.functions.numbers import half_up, one_decimal_percent, share_of
 from publedger.functions.text import METHOD_EXEMPT, norm_method, squeeze, supplier_id
 from publedger.operators.common import first_per_group
+from publedger.session import cut_lineage
 
 CAP_FACTOR = 1.5
 CAP_CODE_LENGTH = 6
@@ -53,10 +54,38 @@ def split_by_cap(contracts: DataFrame, items: DataFrame, factor: float = CAP_FAC
     )
 
 
-def supplier_totals(contracts: DataFrame) -> DataFrame:
+#: Grouping sets of the cube by what they leave open.
+CUBE_KEYS = ("section_id", "supplier", "entity_id", "entity_kind", "method")
+CUBE_LEVELS = {"section": ("section_id",), "supplier": CUBE_KEYS[:4], "method": ("section_id", "method")}
+
+
+def contract_cube(contracts: DataFrame) -> DataFrame:
+    """Contract count, volume and executed money of every section, supplier of a section, and method of a section.
+
+    One pass over the contracts by grouping sets, aggregated in the tasks that read them and written once:
+    totals, leaders, concentration and mix of methods are all read from it. ``level`` names the set.
+    """
+    level = F.lit(None).cast("string")
+    for name, keys in CUBE_LEVELS.items():
+        open_keys = sum(1 << (len(CUBE_KEYS) - 1 - k) for k, c in enumerate(CUBE_KEYS) if c not in keys)
+        level = F.when(F.grouping_id() == open_keys, F.lit(name)).otherwise(level)
+    columns = [F.col(c) for c in CUBE_KEYS]
+    sets = [[F.col(c) for c in keys] for keys in CUBE_LEVELS.values()]
+    grouped = contracts.select(*CUBE_KEYS, "volume", "executed").groupingSets(sets, *columns)
+    sums = grouped.agg(
+        level.alias("level"), F.count("*").alias("contract_count"), F.sum("volume").alias("volume"), F.sum("executed").alias("executed")
+    )
+    return cut_lineage(sums, "contract-cube")
+
+
+def supplier_totals(contracts: DataFrame, cube: DataFrame | None = None) -> DataFrame:
+    keys = ("section_id", "supplier", "entity_id", "entity_kind")
+    if cube is not None:
+        named = cube.filter((F.col("level") == "supplier") & F.col("supplier").isNotNull())
+        return named.select(*keys, "contract_count", "volume", "executed")
     return (
         contracts.filter(F.col("supplier").isNotNull())
-        .groupBy("section_id", "supplier", "entity_id", "entity_kind")
+        .groupBy(*keys)
         .agg(
             F.count("*").alias("contract_count"),
             F.sum("volume").alias("volume"),
@@ -65,27 +94,31 @@ def supplier_totals(contracts: DataFrame) -> DataFrame:
     )
 
 
-def top_suppliers(contracts: DataFrame, n: int = SUPPLIERS) -> DataFrame:
+def top_suppliers(contracts: DataFrame, n: int = SUPPLIERS, cube: DataFrame | None = None) -> DataFrame:
     order = [F.desc_nulls_last("volume"), F.col("supplier"), F.col("entity_id")]
-    return first_per_group(supplier_totals(contracts), ["section_id"], order, n, rank="position")
+    return first_per_group(supplier_totals(contracts, cube), ["section_id"], order, n, rank="position")
 
 
-def contract_totals(contracts: DataFrame, leaders: int = LEADERS) -> DataFrame:
+def contract_totals(contracts: DataFrame, leaders: int = LEADERS, cube: DataFrame | None = None) -> DataFrame:
     """Contract count and volume per section, and the share of its largest suppliers."""
-    totals = contracts.groupBy("section_id").agg(
-        F.count("*").alias("contract_count"), F.coalesce(F.sum("volume"), F.lit(0)).alias("total_volume")
-    )
-    lead = top_suppliers(contracts, leaders).groupBy("section_id").agg(F.sum("volume").alias("__lead"))
+    if cube is None:
+        totals = contracts.groupBy("section_id").agg(F.count("*").alias("contract_count"), F.sum("volume").alias("volume"))
+    else:
+        totals = cube.filter(F.col("level") == "section")
+    totals = totals.select("section_id", "contract_count", F.coalesce("volume", F.lit(0)).alias("total_volume"))
+    lead = top_suppliers(contracts, leaders, cube).groupBy("section_id").agg(F.sum("volume").alias("__lead"))
     joined = totals.join(lead, "section_id", "left")
     percent = share_of(F.coalesce("__lead", F.lit(0)), "total_volume")
     return joined.withColumn("lead_share_percent", percent).drop("__lead")
 
 
-def method_mix(contracts: DataFrame, raw_methods: int | None = None) -> DataFrame:
+def method_mix(contracts: DataFrame, raw_methods: int | None = None, cube: DataFrame | None = None) -> DataFrame:
     """Count, volume and share per method bucket, out of all raw methods or the largest ones."""
-    raw = contracts.groupBy("section_id", "method").agg(
-        F.count("*").alias("__n"), F.sum("volume").alias("__volume")
-    )
+    if cube is None:
+        raw = contracts.groupBy("section_id", "method").agg(F.count("*").alias("contract_count"), F.sum("volume").alias("volume"))
+    else:
+        raw = cube.filter(F.col("level") == "method")
+    raw = raw.select("section_id", "method", F.col("contract_count").alias("__n"), F.col("volume").alias("__volume"))
     order = [F.desc_nulls_last("__volume"), F.col("method")]
     kept = raw if raw_methods is None else first_per_group(raw, ["section_id"], order, raw_methods)
     buckets = kept.groupBy("section_id", norm_method("method").alias("bucket")).agg(
@@ -187,11 +220,12 @@ def weighted_mean(parts: list[tuple]) -> tuple:
     return half_up(F.try_divide(total, weight), 1), known
 
 
-def procurement_index(contracts: DataFrame, n: int | None = None) -> DataFrame:
-    """Concentration of a section's contracting from three weighted parts."""
-    totals = contract_totals(contracts)
-    hhi = supplier_hhi(supplier_totals(contracts), totals, n)
-    joined = totals.join(hhi, "section_id", "left").join(exempt_shares(method_mix(contracts)), "section_id", "left")
+def procurement_index(contracts: DataFrame, n: int | None = None, cube: DataFrame | None = None) -> DataFrame:
+    """Concentration of a section's contracting from three weighted parts, all of one cube."""
+    cube = contract_cube(contracts) if cube is None else cube
+    totals = contract_totals(contracts, cube=cube)
+    hhi = supplier_hhi(supplier_totals(contracts, cube), totals, n)
+    joined = totals.join(hhi, "section_id", "left").join(exempt_shares(method_mix(contracts, cube=cube)), "section_id", "left")
     score, known = weighted_mean(
         [
             (F.least(F.lit(100.0), F.col("hhi") / 100.0), WEIGHTS["hhi"]),

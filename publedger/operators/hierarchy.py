@@ -173,9 +173,8 @@ def sum_no_double_count(
     return total.select(*by, level_used.alias("level_used"), "row_count", *out, *extra_names)
 
 
-def aggregate_by_year(df: DataFrame, years: list[int], by: list[str] | None = None) -> DataFrame:
-    """Original, updated and execution for every year of ``years``, also years without rows."""
-    by = by or []
+def yearly_totals(df: DataFrame, by: list[str]) -> DataFrame:
+    """Original, updated and execution of every year that has rows."""
     totals = sum_no_double_count(
         df,
         [*by, "fiscal_year"],
@@ -184,11 +183,6 @@ def aggregate_by_year(df: DataFrame, years: list[int], by: list[str] | None = No
             F.count_if(F.col("status") == "final").alias("finals"),
         ],
     )
-    year_array = F.explode(F.array(*[F.lit(y) for y in years])).alias("fiscal_year")
-    if by:
-        spine = df.select(*by).distinct().select(*by, year_array)
-    else:
-        spine = fixed_rows(df, [(y,) for y in years], "fiscal_year int")
     use_estimate = F.col("actual").isNull() & F.col("estimated").isNotNull()
     execution = F.coalesce("actual", "estimated")
     weakest = (
@@ -197,18 +191,37 @@ def aggregate_by_year(df: DataFrame, years: list[int], by: list[str] | None = No
         .when(F.col("finals") == F.col("row_count"), F.lit("final"))
         .otherwise(F.lit("partial"))
     )
-    return spine.join(totals, [*by, "fiscal_year"], "left").select(
+    return totals.select(
         *by,
         "fiscal_year",
         "original",
         "updated",
         execution.alias("execution"),
-        F.coalesce(use_estimate, F.lit(False)).alias("execution_is_estimate"),
+        use_estimate.alias("execution_is_estimate"),
         weakest.alias("execution_status"),
-        F.coalesce("row_count", F.lit(0)).alias("record_count"),
+        F.col("row_count").alias("record_count"),
     )
 
 
+def aggregate_by_year(df: DataFrame, years: list[int], by: list[str] | None = None) -> DataFrame:
+    """Original, updated and execution for every year of ``years``, also years without rows.
+
+    The years of a group, at most ``years``, are gathered into one row and laid out again, so the
+    table is read once and no list of groups has to be joined back.
+    """
+    by = by or []
+    totals = yearly_totals(df, by)
+    values = [c for c in totals.columns if c not in (*by, "fiscal_year")]
+    cell = F.struct("fiscal_year", *values)
+    held = totals.groupBy(*by).agg(F.collect_list(F.when(F.col("fiscal_year").isin(*years), cell)).alias("__cells"))
+    laid = held.select(*by, "__cells", F.explode(F.array(*[F.lit(y) for y in years])).alias("fiscal_year"))
+    own = F.element_at(F.filter("__cells", lambda c: c["fiscal_year"] == F.col("fiscal_year")), 1)
+    missing = {"execution_is_estimate": F.lit(False), "execution_status": F.lit("unavailable"), "record_count": F.lit(0)}
+    found = laid.withColumn("__own", F.when(F.exists("__cells", lambda c: c["fiscal_year"] == F.col("fiscal_year")), own))
+    columns = [F.coalesce(F.col("__own")[c], missing[c]).alias(c) if c in missing else F.col("__own")[c].alias(c) for c in values]
+    return found.select(*by, "fiscal_year", *columns)
+
+
 def to_series(aggregates: DataFrame, by: list[str] | None = None) -> DataFrame:
     """One row per year and measure."""
     keys = [*(by or []), "fiscal_year"]

@@ -20,6 +20,7 @@ from publedger.functions.text import (
 )
 from publedger.functions.titles import covers_multiple
 from publedger.operators.common import middle_values
+from publedger.session import cut_lineage
 
 #: Characters of the runs that names of one word are anchored on.
 RUN = 6
@@ -312,6 +313,7 @@ def cross_reference(entries: DataFrame, pool: DataFrame) -> DataFrame:
         .filter(F.length("text") >= NAME_MIN_LENGTH)
         .withColumn("text_id", F.struct("section_id", "subject"))
     )
+    distinct_subjects = cut_lineage(distinct_subjects, "subjects")  # listed, met and verified
     pairs = substring_matches(distinct_subjects, pool, ["section_id"])
     named = pairs.select("section_id", F.col("text_id.subject").alias("subject"), "needle").join(
         pool, ["section_id", "needle"]

@@ -12,7 +12,7 @@ from publedger.functions.numbers import change_percent, share_of
 from publedger.functions.text import person_id
 from publedger.functions.web import parse_archive_url
 from publedger.operators.common import first_per_group, fixed_rows
-from publedger.operators.hierarchy import aggregate_by_year, latest_year_with
+from publedger.operators.hierarchy import aggregate_by_year, yearly_totals
 
 MEASURES = {
     "transparency": "transparency_score",
@@ -32,9 +32,9 @@ def _counts(df: DataFrame, name: str) -> DataFrame:
 
 def latest_budget(items: DataFrame, years: list[int]) -> DataFrame:
     """Each section's latest year with an updated budget, its money, share of all and rank."""
-    yearly = aggregate_by_year(items, years, ["section_id"])
-    latest = latest_year_with(items.filter(F.col("fiscal_year").isin(*years)), ["section_id"])
-    rows = yearly.join(latest, "section_id").filter(F.col("fiscal_year") == F.col("latest_year"))
+    known = yearly_totals(items, ["section_id"]).filter(F.col("fiscal_year").isin(*years) & F.col("updated").isNotNull())
+    row = F.max_by(F.struct(*known.columns), "fiscal_year").alias("row")
+    rows = known.groupBy("section_id").agg(row).select("row.*")
     everyone = W.partitionBy(F.lit(0))
     total = F.sum(F.when(F.col("updated") > 0, F.col("updated"))).over(everyone)
     return rows.select(

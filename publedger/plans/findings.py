@@ -135,15 +135,16 @@ def summarise(spark, d):
     diary = b.diary(spark, d)
     profiles = cal.person_profile(diary)
     contracts = b.contracts(spark, d)
-    recipients = deals.recipient_totals(b.payments(spark, d))
-    pool = matching.name_pool(deals.supplier_totals(contracts), recipients)
+    cube = deals.contract_cube(contracts)
+    recipients = cut_lineage(deals.recipient_totals(b.payments(spark, d)), "recipients")
+    pool = matching.name_pool(deals.supplier_totals(contracts, cube), recipients)
     sections = calendars.sections(spark, d)
     return summary.section_summary(
         sections,
         b.budget_items(spark, d),
         SPINE,
         cal.transparency_score(profiles),
-        deals.procurement_index(contracts),
+        deals.procurement_index(contracts, cube=cube),
         cal.subject_matter_share(cal.category_counts(diary, ["section_id"]), ["section_id"]),
         cal.publication_state(sections, b.publications(spark, d)),
         b.activities(spark, d),

@@ -88,7 +88,8 @@ def _(spark, d):
 @query("a19_supplier_hhi", "SELECT * FROM hhi")
 def _(spark, d):
     rows = b.contracts(spark, d)
-    return c.supplier_hhi(c.supplier_totals(rows), c.contract_totals(rows))
+    cube = c.contract_cube(rows)
+    return c.supplier_hhi(c.supplier_totals(rows, cube), c.contract_totals(rows, cube=cube))
 
 
 @query(
