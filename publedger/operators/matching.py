@@ -33,42 +33,61 @@ TIMING_WINDOW_DAYS = 90
 MINISTRY_LEAD = "^(?:המשרד ל|משרד ה|משרד )"
 
 
-def _runs(word: str, size: int) -> Column:
-    """The character runs of one length in a word; none if it is shorter."""
-    many = F.length(word) - size + 1
-    starts = F.when(many > 0, F.sequence(F.lit(1), many)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substring(F.col(word), i, F.lit(size)))
-
-
 def _piece(kind: str, text: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), text.alias("piece"))
 
 
-def _word_pieces(word: str, sizes: list[int]) -> Column:
-    """What a word can be met by: itself, its beginnings and ends, and its character runs of some lengths."""
-    lengths = F.sequence(F.lit(1), F.least(F.length(word), F.lit(EDGE)))
-    parts = [
-        F.array(_piece("whole", F.col(word))),
-        F.transform(lengths, lambda n: _piece("begins", F.substring(F.col(word), F.lit(1), n))),
-        F.transform(lengths, lambda n: _piece("ends", F.substring(F.col(word), -n, n))),
-        *[F.transform(_runs(word, size), lambda r: _piece("run", r)) for size in sizes],
-    ]
-    return F.array_distinct(F.concat(*parts))
-
-
 def _needle_pieces(needle: str) -> Column:
     """Pieces that any text with the needle has a word for. An inner word stands whole, the first word
-    ends a word of the text, the last one begins one; a needle of one word lies inside a word."""
+    ends a word of the text, the last one begins one; a needle of one word lies inside a word. Where
+    there are several inner words the edges are not needed."""
     words = F.split(needle, " ")
-    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    inner = F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: _piece("whole", w))
     edges = F.array(_piece("ends", F.right(F.element_at(words, 1), F.lit(EDGE))), _piece("begins", F.left(F.element_at(words, -1), F.lit(EDGE))))
     length = F.least(F.length(needle), F.lit(RUN))
     starts = F.sequence(F.lit(1), F.greatest(F.length(needle) - length + 1, F.lit(1)))
     single = F.transform(starts, lambda i: _piece("run", F.substring(F.col(needle), i, length)))
-    pieces = F.when(F.size(words) > 1, F.concat(F.transform(inner, lambda w: _piece("whole", w)), edges)).otherwise(single)
+    pieces = F.when(F.size(words) > 3, inner).when(F.size(words) > 1, F.concat(inner, edges)).otherwise(single)
     return F.filter(F.array_distinct(pieces), lambda p: p["piece"] != "")
 
 
+def _lengths_in_use(asked: DataFrame) -> DataFrame:
+    """One row: the lengths of the pieces asked for, at most ``EDGE`` numbers a kind."""
+    kinds = ("whole", "begins", "ends", "run")
+    return asked.agg(*[F.collect_set(F.when(F.col("kind") == k, F.least(F.length("piece"), F.lit(EDGE)))).alias(f"__{k}") for k in kinds])
+
+
+def _listed_words(in_text: DataFrame, asked: DataFrame, used: DataFrame, by: list[str]) -> DataFrame:
+    """``*by, word, n``: distinct words of the texts that can be met, and the number of texts they stand in.
+
+    Where only whole words are asked for, all others are gone before anything is counted.
+    """
+    whole = asked.filter(F.col("kind") == "whole").select(*by, F.col("piece").alias("word"), F.lit(True).alias("__asked")).distinct()
+    by_part = F.size("__begins") + F.size("__ends") + F.size("__run") > 0
+    met = in_text.filter("word <> ''").join(F.broadcast(used), F.lit(True)).join(whole, [*by, "word"], "left")
+    return met.filter(by_part | F.col("__asked").isNotNull()).groupBy(*by, "word").agg(F.count("*").alias("n"))
+
+
+def _word_pieces(words: DataFrame, used: DataFrame) -> DataFrame:
+    """``words`` with one row for each ``kind, piece`` a word can be met by, of the kinds and lengths in use."""
+    word, size = F.col("word"), F.length("word")
+
+    def fitting(kind: str) -> Column:
+        return F.filter(f"__{kind}", lambda n: n <= size)
+
+    def runs(n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: _piece("run", F.substring(word, i, n)))
+
+    pieces = F.concat(
+        F.filter(F.array(_piece("whole", word)), lambda p: F.array_contains("__whole", F.least(size, F.lit(EDGE)))),
+        F.transform(fitting("begins"), lambda n: _piece("begins", F.substring(word, F.lit(1), n))),
+        F.transform(fitting("ends"), lambda n: _piece("ends", F.substring(word, -n, n))),
+        F.flatten(F.transform(fitting("run"), runs)),
+    )
+    kept = [F.col(f"`{c}`") for c in words.columns]
+    return words.join(F.broadcast(used), F.lit(True)).select(*kept, F.explode(pieces).alias("p")).select(*words.columns, "p.*")
+
+
 def _stands_for(word: str, needle: str) -> Column:
     """Whether a word with the needle's piece can be its place in a text."""
     words, kind = F.split(needle, " "), F.col("kind")
@@ -99,12 +118,12 @@ def substring_matches(
     held = texts.select("text_id", *by, "text")
     # explode_outer: an inner explode would have its array computed once more in a pushed filter.
     in_text = held.select("text_id", *by, F.explode_outer(F.array_distinct(F.split("text", " "))).alias("word"))
-    listed = in_text.filter("word <> ''").groupBy(*by, "word").agg(F.count("*").alias("n"))
-    sizes = list(range(min(min_length, RUN), RUN + 1))
-    cut = listed.select(*by, "word", "n", F.explode(_word_pieces("word", sizes)).alias("p")).select(*by, "word", "n", "p.*")
     asked = pool.select(*by, "needle", F.explode(_needle_pieces("needle")).alias("p")).select(*by, "needle", "p.*")
+    asked = cut_lineage(asked, "needle-pieces")
+    used = _lengths_in_use(asked)
     key = [*by, "kind", "piece"]
-    met = cut.join(asked.select(*key).distinct(), key, "left_semi")
+    pieces = _word_pieces(_listed_words(in_text, asked, used, by), used)
+    met = cut_lineage(pieces.join(asked.select(*key).distinct(), key, "left_semi"), "word-pieces")
     costs = met.groupBy(*key).agg(F.sum("n").alias("cost"))
     # A piece that no word has leaves its needle without a match, so it costs nothing to choose it.
     priced = asked.join(costs, key, "left").withColumn("cost", F.coalesce("cost", F.lit(0)))
@@ -313,7 +332,8 @@ def cross_reference(entries: DataFrame, pool: DataFrame) -> DataFrame:
         .filter(F.length("text") >= NAME_MIN_LENGTH)
         .withColumn("text_id", F.struct("section_id", "subject"))
     )
-    distinct_subjects = cut_lineage(distinct_subjects, "subjects")  # listed, met and verified
+    # Subjects are listed, met and verified, names cut into pieces and joined back.
+    distinct_subjects, pool = cut_lineage(distinct_subjects, "subjects"), cut_lineage(pool, "names")
     pairs = substring_matches(distinct_subjects, pool, ["section_id"])
     named = pairs.select("section_id", F.col("text_id.subject").alias("subject"), "needle").join(
         pool, ["section_id", "needle"]
