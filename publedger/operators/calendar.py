@@ -370,6 +370,25 @@ def person_rollup(profiles: DataFrame, entries: DataFrame, findings: DataFrame,
     )
 
 
+def person_mix(profiles: DataFrame, entries: DataFrame) -> DataFrame:
+    """``person_id, part, name, n, share_percent``: a person's rows by reading group and by month.
+
+    Rows are counted per profile, category and month where they are read; both parts then come from one
+    pass of grouping sets over those counts. Rows of no group, or without a date, are left out of that part.
+    """
+    named = profiles.filter(F.col("person_label").isNotNull()).select("person_key", person_id("person_label").alias("person_id"))
+    counts = entries.groupBy("person_key", "category", month_of("date").alias("month")).agg(F.count("*").alias("n"))
+    keyed = counts.join(named, "person_key").select("person_id", _group_expr(F.col("category")).alias("reading_group"), "month", "n")
+    person, group, month = F.col("person_id"), F.col("reading_group"), F.col("month")
+    sums = keyed.groupingSets([[person, group], [person, month]], person, group, month).agg(F.grouping("month").alias("by_group"), F.sum("n").alias("n"))
+    by_group = F.col("by_group") == 1
+    parts = sums.select(
+        "person_id", F.when(by_group, F.lit("group")).otherwise(F.lit("month")).alias("part"), F.when(by_group, group).otherwise(month).alias("name"), "n"
+    ).filter(F.col("name").isNotNull())
+    total = F.sum("n").over(W.partitionBy("person_id", "part"))
+    return parts.withColumn("share_percent", F.when(F.col("part") == "group", one_decimal_percent(F.col("n"), total)))
+
+
 def transparency_score(profiles: DataFrame) -> DataFrame:
     """How usable a section's publication is, 0–100, from four weighted parts.
 

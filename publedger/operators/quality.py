@@ -40,11 +40,7 @@ def _flagged(df: DataFrame, check: str, key: str, tests: dict[str, Column]) -> D
     return _as_violation(rows, check, F.col("__key"), F.col("__hit"))
 
 
-def schema_violations(
-    df: DataFrame, schema: StructType, key: str, allowed: dict[str, tuple] | None = None,
-    patterns: dict[str, str] | None = None,
-) -> DataFrame:
-    """Nulls, empty required texts, values outside an enumeration, texts that miss a pattern."""
+def schema_tests(df: DataFrame, schema: StructType, allowed: dict[str, tuple] | None = None) -> dict[str, Column]:
     tests: dict[str, Column] = {}
     held = set(df.columns)
     for field in schema.fields:
@@ -61,6 +57,15 @@ def schema_violations(
     for name, values in (allowed or {}).items():
         if name in held:
             tests[f"{name}: value"] = ~F.col(name).isin(*values)
+    return tests
+
+
+def schema_violations(
+    df: DataFrame, schema: StructType, key: str, allowed: dict[str, tuple] | None = None,
+    patterns: dict[str, str] | None = None,
+) -> DataFrame:
+    """Nulls, empty required texts, values outside an enumeration, texts that miss a pattern."""
+    tests = schema_tests(df, schema, allowed)
     for name, pattern in (patterns or {}).items():
         tests[f"{name}: pattern"] = ~F.col(name).rlike(pattern)
     return _flagged(df, "schema", key, tests)
@@ -71,8 +76,12 @@ def duplicate_keys(df: DataFrame, key: str, table: str) -> DataFrame:
     return _as_violation(counts, f"duplicate {table}.{key}", F.col(key), F.col("__n"))
 
 
+def source_tests(url: str) -> dict[str, Column]:
+    return {"no web address": F.col(url).isNull() | ~F.startswith(url, F.lit("http"))}
+
+
 def missing_source(df: DataFrame, key: str, url: str = "url") -> DataFrame:
-    bad = df.filter(F.col(url).isNull() | ~F.startswith(url, F.lit("http")))
+    bad = df.filter(source_tests(url)["no web address"])
     return _as_violation(bad, "source_url", F.col(key), F.coalesce(url, F.lit("missing")))
 
 
@@ -91,8 +100,7 @@ def end_before_start(tenures: DataFrame) -> DataFrame:
     return _as_violation(bad, "tenure_order", F.col("tenure_id"), F.col("end_date"))
 
 
-def bad_amounts(items: DataFrame, key: str = "item_id") -> DataFrame:
-    """Amounts that are no number, and zeros without a note that explains them."""
+def amount_tests() -> dict[str, Column]:
     measures = ("original", "updated", "actual", "estimated")
 
     def broken(c: str) -> Column:
@@ -102,17 +110,25 @@ def bad_amounts(items: DataFrame, key: str = "item_id") -> DataFrame:
     tests = {f"{c}: not finite": broken(c) for c in measures}
     zero = reduce(lambda a, b: a | b, [F.coalesce(F.col(c) == 0, F.lit(False)) for c in measures[:3]])
     tests["unexplained zero"] = zero & (F.trim("notes") == "")
-    return _flagged(items, "amount", key, tests)
+    return tests
 
 
-def rate_mismatch(items: DataFrame, key: str = "item_id") -> DataFrame:
-    """Stored rates that differ from the formula, and outliers without their marker."""
+def bad_amounts(items: DataFrame, key: str = "item_id") -> DataFrame:
+    """Amounts that are no number, and zeros without a note that explains them."""
+    return _flagged(items, "amount", key, amount_tests())
+
+
+def rate_tests() -> dict[str, Column]:
     expected = execution_rate("actual", "estimated", "updated")
-    tests = {
+    return {
         "rate differs": F.abs(F.col("rate") - expected) > RATE_TOLERANCE,
         "outlier without marker": rate_outlier("rate") & ~F.contains("notes", F.lit(OUTLIER_MARKER)),
     }
-    return _flagged(items, "rate", key, tests)
+
+
+def rate_mismatch(items: DataFrame, key: str = "item_id") -> DataFrame:
+    """Stored rates that differ from the formula, and outliers without their marker."""
+    return _flagged(items, "rate", key, rate_tests())
 
 
 def leaf_under_leaf(items: DataFrame) -> DataFrame:
@@ -286,19 +302,22 @@ def shard_violations(
     )
 
 
-def category_violations(entries: DataFrame, categories: DataFrame) -> DataFrame:
-    """Rows without a known category, counts that differ, keyword and confidence that do not agree."""
+def keyword_tests() -> dict[str, Column]:
     keyword = F.coalesce("matched_keyword", F.lit("")) != ""
-    confidence = F.col("matched_confidence").isNotNull()
     fallback = F.col("category").isin(*PURE_FALLBACKS)
-    tests = {
+    return {
         "no category": F.col("category").isNull(),
         "fallback with keyword": fallback & F.col("matched_keyword").isNotNull(),
         "content without keyword": ~fallback & (F.col("category") != "unspecified") & ~keyword,
         "inference not low": F.col("inferred_from").isNotNull()
         & (F.coalesce("matched_confidence", F.lit("")) != "low"),
-        "keyword and confidence differ": keyword != confidence,
+        "keyword and confidence differ": keyword != F.col("matched_confidence").isNotNull(),
     }
+
+
+def category_violations(entries: DataFrame, categories: DataFrame) -> DataFrame:
+    """Rows without a known category, counts that differ, keyword and confidence that do not agree."""
+    tests = keyword_tests()
     counts = entries.groupBy("category").agg(F.count("*").alias("__n"))
     stored = categories.join(counts, "category", "left").filter(
         F.col("entry_count") != F.coalesce("__n", F.lit(0))
@@ -353,9 +372,7 @@ def leaf_sum_violations(items: DataFrame, measure: str = "updated", tolerance: f
     )
 
 
-def honesty_violations(activities: DataFrame, items: DataFrame, window_start: str, current_year: int) -> DataFrame:
-    """Activities before the window, open years shown as final or actual, odd unit or currency."""
-    early = activities.filter(F.col("date") < F.lit(window_start).cast("date"))
+def open_year_tests(items: DataFrame, current_year: int) -> dict[str, Column]:
     is_open = F.col("fiscal_year") >= current_year
     tests = {
         "open year final": is_open & (F.col("status") == "final"),
@@ -365,6 +382,13 @@ def honesty_violations(activities: DataFrame, items: DataFrame, window_start: st
         tests["currency"] = F.col("currency") != "ILS"
     if "unit" in items.columns:
         tests["unit"] = ~F.col("unit").isin("ILS", "ILS_thousands")
+    return tests
+
+
+def honesty_violations(activities: DataFrame, items: DataFrame, window_start: str, current_year: int) -> DataFrame:
+    """Activities before the window, open years shown as final or actual, odd unit or currency."""
+    early = activities.filter(F.col("date") < F.lit(window_start).cast("date"))
+    tests = open_year_tests(items, current_year)
     return _flagged(items, "honesty", "item_id", tests).unionByName(
         _as_violation(early, "activity_window", F.col("id"), F.col("date"))
     )

@@ -117,6 +117,41 @@ def site_summary(tables: dict[str, DataFrame]) -> DataFrame:
     return names.join(stacked, "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def site_overview(
+    split: DataFrame, categories: DataFrame, groups: DataFrame, shares: DataFrame, hygiene: DataFrame, states: DataFrame, insights: DataFrame
+) -> DataFrame:
+    """The rest of the front page as one long relation: ``part, name, n, percent``.
+
+    ``hundred``: a hundred of the latest budget by kind of spending; ``group`` and ``category``: calendar
+    rows by reading group and category; ``diary``: shares of the rows by what their subjects say;
+    ``hygiene``: findings of each rule and their rate in a thousand lines; ``publications``: published
+    and unread ones; ``insight``: strength of each. All inputs are small aggregates.
+    """
+    none = F.lit(None)
+
+    def part(df: DataFrame, label: str, name, n, percent) -> DataFrame:
+        return df.select(F.lit(label).alias("part"), name.alias("name"), n.cast("long").alias("n"), percent.cast("double").alias("percent"))
+
+    listed = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.col(f"{k}_percent").alias("percent")) for k in ("classified", "no_topic", "unclassified", "unspecified")]))
+    counted = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.col(k).alias("n")) for k in ("published", "unread")]))
+    publications = states.agg(F.sum("published").alias("published"), F.sum("unread").alias("unread")).select(counted.alias("s"))
+    parts = [
+        part(split, "hundred", F.col("econ1"), F.col("amount"), F.col("per_hundred")),
+        part(groups, "group", F.col("reading_group"), F.col("n"), F.col("share_percent")),
+        part(categories, "category", F.col("category"), F.col("n"), none),
+        part(shares.select("entries", listed.alias("s")), "diary", F.col("s.name"), F.col("entries"), F.col("s.percent")),
+        part(hygiene, "hygiene", F.col("rule_id"), F.col("finding_count"), F.col("rate_per_thousand")),
+        part(publications, "publications", F.col("s.name"), F.col("s.n"), none),
+        part(insights, "insight", F.col("insight_id"), none, F.col("strength")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def topics_with_items(topics: DataFrame) -> DataFrame:
+    """Topics defined, and those that items stand behind. ``topics``: topic, item_count."""
+    return topics.agg(F.count("*").alias("topics_defined"), F.count_if(F.col("item_count") > 0).alias("topics_with_items"))
+
+
 def compare_sections(summary: DataFrame, measure: str, kind: str = "all") -> DataFrame:
     """Sections on one measure, unknown values last."""
     rows = summary if kind == "all" else summary.filter(F.col("kind") == kind)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from publedger.operators import calendar as cal
-from publedger.operators import filters, ranking, rules, sets
+from publedger.operators import filters, matching, ranking, rules, sets
+from publedger.plans import matches
 from publedger.plans.oracle import group_case, pct, share
 from publedger.plans.registry import query
 from publedger.sources import bindings as b
@@ -278,14 +279,26 @@ def _(spark, d):
     f"""WITH full_profile AS ({FULL}), f AS ({FINDINGS}), matter AS (SELECT person_label, {share("count(*) FILTER (g IN ('governing', 'policy_field', 'stakeholders', 'public_facing'))", "count(*) FILTER (g IS NOT NULL)")} AS s FROM (
           SELECT p.person_label, {group_case("d.category")} AS g FROM diary d JOIN prof p ON p.person_key = d.person_key WHERE p.person_label IS NOT NULL) GROUP BY 1)
         SELECT replace(p.person_label, ' ', '-') AS person_id, count(*) AS profiles, CAST(sum(entry_count) AS BIGINT) AS entries, CAST(min(first_date) AS VARCHAR) AS first_date, CAST(max(last_date) AS VARCHAR) AS last_date,
-          bool_or(covers_multiple) AS shared_file, any_value(m.s) AS share_percent, coalesce(max(x.n), 0) AS findings, coalesce(max(x.n), 0) AS matches
+          bool_or(covers_multiple) AS shared_file, any_value(m.s) AS share_percent, coalesce(max(x.n), 0) AS findings, coalesce(max(y.n), 0) AS matches
         FROM prof p LEFT JOIN matter m ON m.person_label = p.person_label LEFT JOIN (SELECT person_label, count(*) AS n FROM f WHERE person_label IS NOT NULL GROUP BY 1) x ON x.person_label = p.person_label
+        LEFT JOIN (SELECT person_label, count(*) AS n FROM ({matches.CROSS}) WHERE person_label IS NOT NULL GROUP BY 1) y ON y.person_label = p.person_label
         WHERE p.person_label IS NOT NULL GROUP BY p.person_label""",
 )
 def _(spark, d):
     diary = b.diary(spark, d)
-    found = findings_of(spark, d)
-    return cal.person_rollup(cal.person_profile(diary), diary, found, found)
+    met = matching.cross_reference(diary, matches.pool(spark, d))
+    return cal.person_rollup(cal.person_profile(diary), diary, findings_of(spark, d), met)
+
+
+@query(
+    "c17_person_mix",
+    f"""WITH r AS (SELECT replace(p.person_label, ' ', '-') AS person_id, {group_case("d.category")} AS g, strftime(d.date, '%Y-%m') AS m FROM diary d JOIN prof p ON p.person_key = d.person_key WHERE p.person_label IS NOT NULL)
+        SELECT person_id, 'group' AS part, g AS name, count(*) AS n, {pct("count(*)", "sum(count(*)) OVER (PARTITION BY person_id)")} AS share_percent FROM r WHERE g IS NOT NULL GROUP BY person_id, g
+        UNION ALL SELECT person_id, 'month', m, count(*), NULL FROM r WHERE m IS NOT NULL GROUP BY person_id, m""",
+)
+def _(spark, d):
+    diary = b.diary(spark, d)
+    return cal.person_mix(cal.person_profile(diary), diary)
 
 
 TRANSPARENCY = f"""SELECT *, floor((coalesce(topic_score * 0.40, 0.0) + coalesce(clock_score * 0.25, 0.0) + coalesce(single_person_score * 0.20, 0.0) + coalesce(dated_score * 0.15, 0.0))

@@ -9,7 +9,7 @@ from publedger.operators import contracts as deals
 from publedger.operators import filters, hierarchy, insights, matching, quality, ranking, rules, spending, summary
 from publedger.plans import calendars, matches, texts
 from publedger.plans.budget import SPINE
-from publedger.plans.oracle import pct, share, values
+from publedger.plans.oracle import group_case, pct, share, values
 from publedger.plans.registry import query
 from publedger.session import cut_lineage
 from publedger.sources import bindings as b
@@ -88,12 +88,12 @@ def _(spark, d):
     return rules.scanned_counts(b.regulations(spark, d))
 
 
-@query(
-    "n8_rule_hygiene",
-    f"""SELECT v.rule_id, v.closed_years_only, count(f.code) AS finding_count, (SELECT count(*) FROM regs) AS scanned_count, floor(count(f.code) / CAST((SELECT count(*) FROM regs) AS DOUBLE) * 1000.0 * 10.0 + 0.5) / 10.0 AS rate_per_thousand,
+HYGIENE = f"""SELECT v.rule_id, v.closed_years_only, count(f.code) AS finding_count, (SELECT count(*) FROM regs) AS scanned_count, floor(count(f.code) / CAST((SELECT count(*) FROM regs) AS DOUBLE) * 1000.0 * 10.0 + 0.5) / 10.0 AS rate_per_thousand,
           count(DISTINCT f.section_id) AS sections_affected FROM (VALUES ('executed_without_budget', true), ('overspend', true), ('unexecuted_budget', true), ('enacted_jump', false), ('in_year_reinforcement', false), ('reserve_executed', true)) v(rule_id, closed_years_only)
-        LEFT JOIN ({FOUND}) f ON f.rule_id = v.rule_id AND f.rule_id <> 'unexecuted_budget' GROUP BY 1, 2""",
-)
+        LEFT JOIN ({FOUND}) f ON f.rule_id = v.rule_id AND f.rule_id <> 'unexecuted_budget' GROUP BY 1, 2"""
+
+
+@query("n8_rule_hygiene", HYGIENE)
 def _(spark, d):
     lines = b.regulations(spark, d)
     found = anomalies(spark, d).filter(F.col("rule_id") != "unexecuted_budget")
@@ -361,6 +361,46 @@ def _(spark, d):
     return insights.insights([generator(spark, d) for _, generator in GENERATORS.values()])
 
 
+HUNDRED_LATEST = f"""SELECT *, {pct("amount", "sum(amount) OVER ()")} AS per_hundred FROM (SELECT fiscal_year, econ1, CAST(sum(revised) AS BIGINT) AS amount FROM usage WHERE revised > 0
+      AND fiscal_year = (SELECT max(fiscal_year) FROM usage WHERE revised > 0) GROUP BY 1, 2)"""
+CORPUS_GROUPS = f"""SELECT g AS reading_group, count(*) AS n, {pct("count(*)", "sum(count(*)) OVER ()")} AS share_percent FROM (SELECT {group_case("category")} AS g FROM diary) WHERE g IS NOT NULL GROUP BY 1"""
+OVERVIEW = f"""SELECT 'hundred' AS part, econ1 AS name, amount AS n, CAST(per_hundred AS DOUBLE) AS percent FROM ({HUNDRED_LATEST})
+    UNION ALL SELECT 'group', reading_group, n, share_percent FROM ({CORPUS_GROUPS})
+    UNION ALL SELECT 'category', category, count(*), NULL FROM diary GROUP BY category
+    UNION ALL SELECT 'diary', v.name, entries, CASE v.name WHEN 'classified' THEN classified_percent WHEN 'no_topic' THEN no_topic_percent WHEN 'unclassified' THEN unclassified_percent ELSE unspecified_percent END
+      FROM ({calendars.SHARES}), (VALUES ('classified'), ('no_topic'), ('unclassified'), ('unspecified')) v(name)
+    UNION ALL SELECT 'hygiene', rule_id, finding_count, rate_per_thousand FROM ({HYGIENE})
+    UNION ALL SELECT 'publications', v.name, CAST(CASE v.name WHEN 'published' THEN (SELECT sum(published) FROM ({calendars.STATES})) ELSE (SELECT sum(unread) FROM ({calendars.STATES})) END AS BIGINT), NULL FROM (VALUES ('published'), ('unread')) v(name)
+    UNION ALL SELECT 'insight', insight_id, NULL, CAST(strength AS DOUBLE) FROM ({" UNION ALL ".join(sql for sql, _ in GENERATORS.values())})"""
+
+
+@query("s2_site_overview", OVERVIEW)
+def _(spark, d):
+    diary = b.diary(spark, d)
+    categories = cut_lineage(cal.category_counts(diary), "categories")
+    lines = b.regulations(spark, d)
+    found = anomalies(spark, d).filter(F.col("rule_id") != "unexecuted_budget")
+    return summary.site_overview(
+        spending.per_hundred_latest(b.usage(spark, d)),
+        categories,
+        cal.group_counts(categories),
+        cal.corpus_shares(diary),
+        rules.rule_hygiene(found, rules.scanned_counts(lines)),
+        cal.publication_state(calendars.sections(spark, d), b.publications(spark, d)),
+        insights.insights([generator(spark, d) for _, generator in GENERATORS.values()]),
+    )
+
+
+@query(
+    "s7_topics_with_items",
+    "SELECT CAST(4 AS BIGINT) AS topics_defined, count(*) AS topics_with_items FROM (VALUES ('en'), ('fr'), ('long'), ('nobody')) v(topic) WHERE topic IN (SELECT unnest(topics) FROM acts)",
+)
+def _(spark, d):
+    from publedger.operators.classify import topic_counts
+
+    return summary.topics_with_items(topic_counts(b.activities(spark, d), ["en", "fr", "long", "nobody"]))
+
+
 # ---- quality gate -----------------------------------------------------------------
 
 

@@ -12,8 +12,16 @@ from pyspark.sql import functions as F
 
 from publedger.functions.text import person_key
 from publedger.operators import calendar as cal
-from publedger.operators import classify, contracts, hierarchy, inference, matching, quality, ranking, rules, sets, spending
+from publedger.operators import classify, contracts, gate, hierarchy, inference, matching, quality, ranking, rules, sets, spending
 from publedger.session import cut_lineage
+from publedger.sources import sinks
+
+#: Rows before this day do not belong to the corpus of a run that names no other.
+WINDOW_START = "1900-01-01"
+#: A year that no calendar run has open budgets in.
+OPEN_END = 9999
+#: Tables that readers fetch by section.
+SHARDED = ("entries", "contracts", "items")
 
 
 def refresh(
@@ -26,19 +34,27 @@ def refresh(
     years: list[int],
     current_year: int,
     limits: rules.AnomalyLimits = rules.AnomalyLimits(),
+    more: dict[str, DataFrame] | None = None,
+    window_start: str = WINDOW_START,
+    publish_to: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Budget items, usage, contracts and anomalies, checked by the gate before they are returned."""
+    """Budget items, usage, contracts and anomalies, checked by the whole gate before they are returned.
+
+    ``more``: further tables of the corpus (see ``gate.SHAPES`` and ``gate.table_checks``), which the gate
+    checks with the others. ``publish_to``: folder the tables are written to once the gate has passed.
+    """
     items = cut_lineage(hierarchy.normalize_budget(raw_budget, current_year, years), "items")
     usage, rejected = spending.usage_breakdown(usage_lines)
     usage = cut_lineage(usage, "usage")
     kept, excluded = contracts.split_by_cap(deals, items)
     kept = cut_lineage(kept, "contracts")
     findings = cut_lineage(rules.scan_anomalies(regulations, current_year - 1, limits), "anomalies")
+    usage_coverage = cut_lineage(spending.usage_coverage(usage, items, years), "usage-coverage")
     tables = {
         "items": items,
         "usage": usage,
         "usage_rejected": rejected,
-        "usage_coverage": spending.usage_coverage(usage, items, years),
+        "usage_coverage": usage_coverage,
         "contracts": kept,
         "contracts_excluded": excluded,
         "suppliers": contracts.top_suppliers(kept),
@@ -47,17 +63,24 @@ def refresh(
         "anomalies": findings,
         "hygiene": rules.rule_hygiene(findings, rules.scanned_counts(regulations)),
     }
-    quality.gate(
-        {
-            "leaf_under_leaf": quality.leaf_under_leaf(items),
-            "rates": quality.rate_mismatch(items),
-            "sections": quality.dangling(items, "item_id", "section_id", sections, "section_id", "item_section"),
-            "duplicates": quality.duplicate_keys(items, "item_id", "items"),
-        }
-    )
+    lines = regulations.select("section_id").distinct()
+    held = {"items": items, "usage": usage, "usage_coverage": usage_coverage, "contracts": kept, "regulations": regulations}
+    held |= {"anomalies": findings, "sections": sections, "regulation_sections": lines}
+    quality.gate(gate.all_checks(held | (more or {}), current_year, window_start))
+    if publish_to is not None:
+        publish(tables, publish_to)
     return tables
 
 
+def publish(tables: dict[str, DataFrame], folder: str) -> None:
+    """Write every table of a run; sections that are read on their own get a folder each."""
+    for name, df in tables.items():
+        if name in SHARDED and "section_id" in df.columns:
+            sinks.write_shards(df, "section_id", f"{folder}/{name}")
+        else:
+            df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
 def diary_analysis(
     rows: DataFrame,
     publications: DataFrame,
@@ -66,8 +89,14 @@ def diary_analysis(
     sentinels: list[str],
     pool: DataFrame,
     limits: rules.DiaryLimits = rules.DiaryLimits(),
+    more: dict[str, DataFrame] | None = None,
+    window_start: str = WINDOW_START,
+    publish_to: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Join → de-duplicate → classify → infer → measure → find, for one body of calendar rows."""
+    """Join → de-duplicate → classify → infer → measure → find, for one body of calendar rows.
+
+    ``more`` and ``publish_to`` as in :func:`refresh`.
+    """
     joined, orphans = cal.join_meta(rows, publications)
     unique, dropped = ranking.dedupe_entries(joined)
     classified = cut_lineage(classify.classify_subject(unique, lexicon, generic, sentinels), "classified")
@@ -79,9 +108,10 @@ def diary_analysis(
     )
     gaps = sets.publication_gaps(entries, owners.select("person_key", "period_label"))
     shares = cal.corpus_shares(entries)
-    findings = rules.diary_findings(profiles, gaps, limits)
-    quality.gate({"profiles": quality.profile_violations(profiles, findings, shares, entries)})
-    return {
+    findings = cut_lineage(rules.diary_findings(profiles, gaps, limits), "findings")
+    held = {"entries": entries, "profiles": profiles, "findings": findings, "shares": shares}
+    quality.gate(gate.all_checks(held | (more or {}), OPEN_END, window_start))
+    tables = {
         "entries": entries,
         "orphans": orphans,
         "dropped": dropped,
@@ -92,3 +122,6 @@ def diary_analysis(
         "shares": shares,
         "transparency": cal.transparency_score(profiles),
     }
+    if publish_to is not None:
+        publish(tables, publish_to)
+    return tables

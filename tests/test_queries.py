@@ -4,6 +4,7 @@
 """
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from publedger.operators import contracts, matching, quality
@@ -41,16 +42,27 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_refresh_and_its_gate(spark):
+def test_refresh_and_its_gate(spark, tmp_path):
     sections = calendars.sections(spark, FOLDER)
     inputs = [
         b.raw_budget(spark, FOLDER), b.usage_lines(spark, FOLDER), b.regulations(spark, FOLDER),
         b.contracts(spark, FOLDER), b.payments(spark, FOLDER),
     ]
-    out = lifecycle.refresh(*inputs, sections, b.YEARS, 2001)
+    # Lines without a title are dropped, so what is left does not add up and the gate says so.
+    with pytest.raises(quality.GateFailed, match="leaf"):
+        lifecycle.refresh(*inputs, sections, b.YEARS, 2001, publish_to=str(tmp_path / "untitled"))
+    assert not (tmp_path / "untitled").exists()
+    inputs[0] = inputs[0].withColumn("title", F.when(F.trim("title") == "", F.col("code")).otherwise(F.col("title")))
+    out = lifecycle.refresh(*inputs, sections, b.YEARS, 2001, publish_to=str(tmp_path / "whole"))
     assert out["items"].count() > 0 and out["procurement"].count() > 0
+    assert {p.name for p in (tmp_path / "whole").iterdir()} == set(out)
+    assert spark.read.parquet(str(tmp_path / "whole" / "items")).count() == out["items"].count()
     with pytest.raises(quality.GateFailed):
         lifecycle.refresh(*inputs, sections.limit(1), b.YEARS, 2001)
+    # A table handed in beside is held to its checks too.
+    tenures = spark.createDataFrame([("t", "p", "r", "S1", "2024-02-01", "2024-01-01", "http://x")], "tenure_id string, person_name string, role string, section_id string, start_date string, end_date string, source_url string")
+    with pytest.raises(quality.GateFailed, match="order"):
+        lifecycle.refresh(*inputs, sections, b.YEARS, 2001, more={"tenures": tenures})
 
 
 def test_diary_analysis(spark):
