@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from publedger.llm.common import map_batches, signed, task_count, texts_of, union_all, unsigned
+from publedger.llm.common import ROW, map_batches, signed, task_count, texts_of, union_all, unsigned
 from publedger.llm.components import components
 from publedger.session import cut_lineage
 
@@ -171,6 +171,6 @@ def one_of_each(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -
     """The rows of ``docs`` whose doc_id names their group; every row without an id stays, and so do all
     rows that repeat the id and text of one that stays."""
     found = near_duplicates(docs, words, distance)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone"), F.col("h").alias("of")).distinct()
-    same = (F.col("doc_id") == F.col("gone")) & (F.xxhash64("text") == F.col("of"))
-    return docs.join(gone, same, "left_anti").select(docs.columns)
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id", F.col("h").alias("text_hash")).distinct()
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW))
+    return rows.join(gone, ["doc_id", "text_hash"], "left_anti").select(f"{ROW}.*")

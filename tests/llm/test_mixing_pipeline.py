@@ -116,3 +116,12 @@ def test_stages_keep_columns_named_as_results_and_count_characters_again(spark):
         docs = stage(spark, docs, FOLDER)
         rows = docs.collect()
         assert rows and all(r[c] == f"{c}{r['doc_id']}" and r["n_chars"] == len(r["text"]) for r in rows for c in clashing)
+
+
+def test_near_duplicate_stage_keeps_any_columns(spark):
+    names = ["gone", "of", "h", "fp", "text_hash", "component_id", "__row"]
+    text = " ".join(words(60, 1))
+    docs = documents(spark, [(1, text), (2, text), (3, " ".join(words(60, 2))), (None, text), (1, text)]).withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in names})
+    kept = corpus_pipeline.near_duplicates(spark, docs, FOLDER)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["gone"], r["of"]) for r in kept.collect()) == [(0, None, None), (1, "gone1", "of1"), (1, "gone1", "of1"), (3, "gone3", "of3")]
