@@ -8,17 +8,31 @@ from pyspark.sql import functions as F
 
 from publedger.functions.numbers import change_percent, col, finite, half_up, share_of
 from publedger.operators.common import first_per_group, middle_values
+from publedger.session import cut_lineage
 
 FEED_CAP = 200
 PAGE_SIZE = 50
 
 
 def rank_of(df: DataFrame, by: list[str], value: str, tie: str) -> DataFrame:
-    """``rank`` and ``out_of`` of every row with a value, largest first, distinct positions."""
-    usable = df.filter(finite(value).isNotNull())
-    ranks = W.partitionBy(*by).orderBy(F.desc(value), tie)
-    sizes = usable.groupBy(*by).agg(F.count("*").alias("out_of"))
-    return usable.withColumn("rank", F.row_number().over(ranks)).join(sizes, by)
+    """``rank`` and ``out_of`` of every row with a value, largest first, distinct positions.
+
+    Rows are range-partitioned by group and value and numbered inside their range; a running sum over
+    the ranges of a group, a few rows, gives where each one starts. So a group of any size is ranked by
+    many tasks.
+    """
+    order = [F.desc(value), F.col(tie)]
+    ranged = df.filter(finite(value).isNotNull()).repartitionByRange(*[F.col(c) for c in by], *order)
+    ranged = cut_lineage(ranged.withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy(*by, "__range").agg(F.count("*").alias("__size"))
+    earlier = W.partitionBy(*by).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(
+        *by, "__range", F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__start"), F.sum("__size").over(W.partitionBy(*by)).alias("out_of")
+    )
+    inside = F.row_number().over(W.partitionBy(*by, "__range").orderBy(*order))
+    ranked = ranged.withColumn("__inside", inside).join(starts, [*by, "__range"])
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return ranked.select(*columns, (F.col("__start") + F.col("__inside")).cast("int").alias("rank"), "out_of")
 
 
 def rank_anomalies(findings: DataFrame) -> DataFrame:

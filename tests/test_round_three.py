@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from publedger.operators import contracts, hierarchy, matching
+from publedger.operators import contracts, hierarchy, matching, ranking
 from publedger.sources import tables
 
 SPLITS = "spark.sql.files.maxPartitionBytes"
@@ -122,3 +122,13 @@ def test_cube_equals_separate_totals(spark):
     assert rows_of(contracts.supplier_totals(df, cube)) == rows_of(contracts.supplier_totals(df))
     assert rows_of(contracts.contract_totals(df, cube=cube)) == rows_of(contracts.contract_totals(df))
     assert rows_of(contracts.method_mix(df, cube=cube)) == rows_of(contracts.method_mix(df))
+
+
+def test_a_hot_group_is_ranked_in_ranges(spark):
+    rows = [("hot", float(k % 50), k) for k in range(900)] + [("cold", 1.0, 1), ("cold", None, 2), ("cold", float("nan"), 3), ("cold", 4.0, 0)]
+    ranked = ranking.rank_of(spark.createDataFrame(rows, "g string, v double, k int"), ["g"], "v", "k").collect()
+    want = {}
+    for g in ("hot", "cold"):
+        usable = sorted((-v, k) for h, v, k in rows if h == g and v is not None and v == v)
+        want |= {(g, k): (place, len(usable)) for place, (_, k) in enumerate(usable, 1)}
+    assert {(r["g"], r["k"]): (r["rank"], r["out_of"]) for r in ranked} == want
