@@ -429,13 +429,13 @@ def _titles(spark, d):
     k = F.col("o_orderkey") % 8
     who, year = F.col("c_name"), F.year("o_orderdate").cast("string")
     title = (
-        F.when(k == 0, F.concat(F.lit('יומן מנכ"ל משרד הבריאות, '), who, F.lit(", לשנת "), year, F.lit(" (רבעון ראשון)")))
-        .when(k == 1, F.concat(F.lit("יומן שר הבריאות, "), who, F.lit(" לשנת "), year))
-        .when(k == 2, F.concat(F.lit("יומן סגנית שר האוצר לשנת "), year))
-        .when(k == 3, F.concat(F.lit("יומני השר "), who, F.lit(" 1.1.23-18.6.23")))
-        .when(k == 4, F.concat(F.lit("עיריית "), who, F.lit(" - יומן לשנת 2025")))
-        .when(k == 5, F.concat(F.lit("יומן שר הרווחה, "), who, F.lit(' ויומן מנכ"ל משרד הרווחה לשנת 2024')))
-        .when(k == 6, F.concat(F.lit("יומני שרי ממשלת ישראל שנת 2023, "), who))
+        F.when(k == 0, F.concat(F.lit('יומן מנכ"ל משרד החינוך, '), who, F.lit(", לשנת "), year, F.lit(" (רבעון שלישי)")))
+        .when(k == 1, F.concat(F.lit("יומן שר התחבורה, "), who, F.lit(" לשנת "), year))
+        .when(k == 2, F.concat(F.lit("יומן סגנית שר החקלאות לשנת "), year))
+        .when(k == 3, F.concat(F.lit("יומני השר "), who, F.lit(" 3.2.24-9.8.24")))
+        .when(k == 4, F.concat(F.lit("עיריית "), who, F.lit(" - לוח פגישות לשנת 2024")))
+        .when(k == 5, F.concat(F.lit("יומן שר התיירות, "), who, F.lit(' ויומן מנכ"ל משרד התיירות לשנת 2024')))
+        .when(k == 6, F.concat(F.lit("יומני שרי ממשלת ישראל שנת 2024, "), who))
         .otherwise(F.concat(F.lit(" יומן  , "), who))
     )
     rows = b.read(spark, d, "orders").join(b.read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -448,10 +448,10 @@ TITLES = """SELECT o_orderkey, c_name AS who, CAST(year(o_orderdate) AS VARCHAR)
 @query(
     "t11_parse_title",
     f"""SELECT o_orderkey, CASE k WHEN 0 THEN 'director_general' WHEN 2 THEN 'deputy_minister' WHEN 4 THEN 'other_senior' WHEN 6 THEN 'other_senior' WHEN 7 THEN 'other_senior' ELSE 'minister' END AS person_role,
-          CASE k WHEN 0 THEN 'מנכ"ל משרד הבריאות' WHEN 1 THEN 'שר הבריאות' WHEN 2 THEN 'סגנית שר האוצר לשנת ' || y WHEN 3 THEN 'השר ' || who || ' 1.1.23-18.6.23' WHEN 4 THEN 'עיריית ' || who || ' - יומן לשנת 2025'
-               WHEN 5 THEN 'שר הרווחה' WHEN 6 THEN 'שרי ממשלת ישראל שנת 2023' ELSE 'תפקיד לא צוין בכותרת' END AS role_label,
-          CASE k WHEN 0 THEN who WHEN 1 THEN who WHEN 5 THEN who || ' ויומן מנכ"ל משרד הרווחה' END AS person_label,
-          CASE k WHEN 0 THEN y || ' (רבעון ראשון)' WHEN 1 THEN y WHEN 2 THEN y WHEN 3 THEN '1.1.23-18.6.23' WHEN 4 THEN '2025' WHEN 5 THEN '2024' END AS period_label
+          CASE k WHEN 0 THEN 'מנכ"ל משרד החינוך' WHEN 1 THEN 'שר התחבורה' WHEN 2 THEN 'סגנית שר החקלאות לשנת ' || y WHEN 3 THEN 'השר ' || who || ' 3.2.24-9.8.24' WHEN 4 THEN 'עיריית ' || who || ' - לוח פגישות לשנת 2024'
+               WHEN 5 THEN 'שר התיירות' WHEN 6 THEN 'שרי ממשלת ישראל שנת 2024' ELSE 'תפקיד לא צוין בכותרת' END AS role_label,
+          CASE k WHEN 0 THEN who WHEN 1 THEN who WHEN 5 THEN who || ' ויומן מנכ"ל משרד התיירות' END AS person_label,
+          CASE k WHEN 0 THEN y || ' (רבעון שלישי)' WHEN 1 THEN y WHEN 2 THEN y WHEN 3 THEN '3.2.24-9.8.24' WHEN 4 THEN '2024' WHEN 5 THEN '2024' END AS period_label
         FROM ({TITLES})""",
 )
 def _(spark, d):
