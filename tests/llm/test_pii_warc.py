@@ -108,3 +108,31 @@ def test_archives_round_trip(spark):
 def test_archives_of_nothing(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archive_and_read(pages).count() == 0
+
+
+def test_planted_unseen_identifiers_of_each_kind(spark):
+    """Recall and precision of the learned spans, where each kind has seeds and identifiers that no fixed pattern
+    takes in contexts of its own, and other numbers stand elsewhere or in a context that is rarely of the kind."""
+    seeds = {
+        "email": ("mailbox", lambda k: f"user{k}@host{k}.org"), "ip": ("gateway", lambda k: f"10.1.{k}.7"),
+        "card": ("visa", lambda k: f"4{k:014d}"), "phone": ("helpline", lambda k: f"+44 20 7946 0{k:03d}"),
+    }
+    unseen = {
+        "email": lambda k: f"clerk{k}@intranet", "ip": lambda k: f"10-{k + 10}-300-40", "card": lambda k: f"77{k:02d}881122x", "phone": lambda k: f"020-7946-1{k:03d}",
+    }
+    digit = lambda stem: next(stem + str(d) for d in range(10) if luhn(stem + str(d)))
+    texts, planted = [], set()
+    for kind, (context, make) in seeds.items():
+        texts += [(f"{context} {digit(make(k)) if kind == 'card' else make(k)}", None) for k in range(40)]
+        texts += [(f"{context} {unseen[kind](k)}", (kind, unseen[kind](k))) for k in range(8)]
+    texts += [(f"invoice 55{k:05d}", None) for k in range(40)] + [(f"call {seeds['phone'][1](k + 500)}", None) for k in range(4)] + [(f"call 88{k:05d}", None) for k in range(30)]
+    rows = []
+    for k, (middle, plant) in enumerate(texts):
+        rows.append((k, f"{' '.join(words(12, k))} {middle} {' '.join(words(9, k + 5_000))}"))
+        planted |= {(k, *plant)} if plant else set()
+    out = pii.find_pii(documents(spark, rows)).collect()
+    learned = {(r["doc_id"], s["kind"], s["match"]) for r in out for s in r["spans"] if not s["base"]}
+    for kind in seeds:
+        mine, right = {x for x in learned if x[1] == kind}, {x for x in planted if x[1] == kind}
+        print(kind, len(mine & right), "of", len(right), "found,", len(mine - right), "wrong")
+        assert len(mine & right) >= 0.9 * len(right) and len(mine & right) >= 0.9 * len(mine)
