@@ -6,7 +6,6 @@ from publedger.operators import contracts as c
 from publedger.operators import matching
 from publedger.plans.oracle import squeeze
 from publedger.plans.registry import query
-from publedger.session import cut_lineage
 from publedger.sources import bindings as b
 
 FACTOR = 0.10  # the reference value of 1.5 sets nothing aside on these tables
@@ -135,9 +134,8 @@ def _(spark, d):
     deals = b.contracts(spark, d)
     suppliers, recipients = c.supplier_totals(deals), c.recipient_totals(b.payments(spark, d))
     appearances = c.entity_appearances(suppliers, recipients)
-    matches = matching.cross_reference(b.diary(spark, d), matching.name_pool(suppliers, recipients))
-    matches = cut_lineage(matches, "matches")
-    timed = matching.meeting_timing(matches, deals)
+    pool = matching.name_pool(suppliers, recipients)
+    matches, timed = matching.entity_meetings(b.diary(spark, d), pool, deals, "Supplier#000000000")
     return c.entity_profile(appearances, matches, timed, "Supplier#000000000")
 
 
