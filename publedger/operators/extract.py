@@ -16,6 +16,7 @@ from publedger.functions.web import (
     resolve_url,
 )
 from publedger.operators.common import first_per_group
+from publedger.session import cut_lineage
 
 # Header words of a table's fields, in the order they are tried.
 FIELD_TARGETS = (
@@ -154,8 +155,9 @@ def extract_grid(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``cells``: doc, row, col, value (rows and columns from 0). Dates and times stay raw.
     """
-    headers = grid_headers(cells)
-    values = _grid_values(cells, headers)
+    # Each is read several times below, and cells are many more than the rows they make.
+    headers = cut_lineage(grid_headers(cells), "grid-headers")
+    values = cut_lineage(_grid_values(cells, headers), "grid-values")
     marked = values.join(_first_long_gap(values), "doc", "left").withColumn(
         "__after", F.coalesce(F.col("row") >= F.col("stop_row"), F.lit(False))
     )

@@ -5,7 +5,7 @@ import datetime as dt
 import duckdb
 from pyspark.sql import functions as F
 
-from publedger.operators import classify, matching
+from publedger.operators import classify, extract, matching
 from publedger.plans import load, texts
 from publedger.plans.registry import ORACLE, QUERIES
 
@@ -68,3 +68,12 @@ def test_occurrences_read_the_written_evidence(spark, monkeypatch):
     monkeypatch.setattr(texts.inference, "name_occurrences", lambda *parts: seen.append(len(parts)) or real(*parts))
     QUERIES["x8_name_occurrences"](spark, SMALL)
     assert seen == [3]
+
+
+def test_grids_are_read_from_what_was_written(spark, monkeypatch):
+    written, real = [], extract.cut_lineage
+    monkeypatch.setattr(extract, "cut_lineage", lambda df, name: written.append(name) or real(df, name))
+    cells = [("d", 0, 0, "נושא"), ("d", 0, 1, "תאריך"), ("d", 1, 0, "talk"), ("d", 2, 1, "1.1.2024"), ("e", 0, 0, "x")]
+    rows, report = extract.extract_grid(spark.createDataFrame(cells, "doc string, row int, col int, value string"))
+    assert written == ["grid-headers", "grid-values"] and rows.count() == 2
+    assert sorted(tuple(r) for r in report.collect()) == [("d", True, 2, 0, 0), ("e", False, 0, 1, 0)]
