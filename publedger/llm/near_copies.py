@@ -3,11 +3,16 @@
 One SimHash of 64 bits tells copies at 0.95 and more; at 0.8 its bits differ too often. So a text has
 several short fingerprints from independent hashes, as many as let ``REACH`` of the pairs at exactly the
 similarity asked for come within 2 bits of each other in one of them. Each fingerprint emits its ball of
-radius 1, and texts that meet on a point are candidates (with the smallest and the largest text of the
-point, so that a group of copies never becomes all its pairs). Candidates whose fingerprints differ far
+radius 1, and texts that meet on a point are candidates. Candidates whose fingerprints differ far
 more than the similarity allows go; all others are verified by the exact similarity of their shingles,
 first one for each text, then those that are still apart. A text is only ever joined by a verified link.
 
+So that a group of copies never becomes all its pairs, texts are first paired with the smallest and the
+largest text of each point only, which is every pair of a point of up to three. Texts of larger points
+send their points once more, with the group they have come to: where a point holds several groups, every
+pair of texts of different groups is a candidate. These pairs are made block by block in tasks of their
+own; they are as many as the square of a point only if its texts meet and yet are no copies.
+
 Bits grow with the logarithm of the number of texts, so that strangers seldom meet; fingerprints follow.
 
 Defined cases: texts with the same set of shingles (A-Z lower-cased, repeats and order aside) are one
@@ -38,8 +43,12 @@ WORDS, SIMILARITY, REACH = 5, 0.8, 0.95
 SPARE_BITS, LEAST_BITS, MOST_BITS = 14, 20, 64
 #: Share of differing bits, beyond what the similarity expects, up to which a candidate is verified.
 SLACK = 0.1
-#: Points that a text sends in one pass.
+#: Points of 16 bytes that a text sends in one pass.
 PASS_POINTS = 160
+#: Texts of a point of which all pairs are among those with its smallest and its largest.
+WHOLE = 3
+#: Texts on either side of a block of pairs.
+BLOCK = 256
 ROWS_AT_ONCE = 512
 STEP, MIX_1, MIX_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -105,59 +114,105 @@ def scan_texts(docs: DataFrame, bits: int, count: int, words: int = WORDS) -> Da
 
 
 def _emit(batch: pa.RecordBatch, prints: range, count: int, bits: int, shift: np.uint64) -> Iterator[pa.RecordBatch]:
-    """The points of some fingerprints, as packed (point, node) by bucket."""
+    """The points of some fingerprints, as packed (point, node) by bucket, with the node's root where there is one."""
     flips = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(bits, dtype=np.uint64)])
     salts = (np.array(prints, dtype=np.uint64) + np.uint64(1)) * STEP
+    names = [n for n in ("node", "root") if n in batch.schema.names]
     for start in range(0, batch.num_rows, ROWS_AT_ONCE):
         some = batch.slice(start, ROWS_AT_ONCE)
         every = np.frombuffer(b"".join(some.column("prints").to_pylist()), dtype=np.uint64).reshape(-1, count)
         mine = every[:, prints.start : prints.stop]
         points = mixed((mine[:, :, None] ^ flips) + salts[:, None]).ravel()
-        owners = np.repeat(unsigned(some.column("node").to_numpy()), len(prints) * len(flips))
+        owners = [np.repeat(unsigned(some.column(n).to_numpy()), len(prints) * len(flips)) for n in names]
         bucket = (points >> shift).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        pairs, bucket = np.stack([points[order], owners[order]]), bucket[order]
+        rows, bucket = np.stack([points[order], *(o[order] for o in owners)]), bucket[order]
         full, begin = np.unique(bucket, return_index=True)
-        cells = [pairs[:, i:j].tobytes() for i, j in zip(begin, [*begin[1:], len(bucket)])]
+        cells = [rows[:, i:j].tobytes() for i, j in zip(begin, [*begin[1:], len(bucket)])]
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(cells, pa.binary())], ["bucket", "cells"])
 
 
+def _by_point(group: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed rows in the order of points and nodes, where each point starts and how many nodes it has."""
+    rows = np.concatenate([np.frombuffer(c, dtype=np.uint64).reshape(width, -1) for c in group.column("cells").to_pylist()], axis=1)
+    rows = rows[:, np.lexsort((rows[1], rows[0]))]
+    start = np.flatnonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]])
+    return rows, start, np.diff(np.r_[start, rows.shape[1]])
+
+
 def _meet(group: pa.Table) -> pa.Table:
-    """Distinct pairs of each node with the smallest and the largest node of its points."""
-    points, nodes = np.concatenate([np.frombuffer(c, dtype=np.uint64).reshape(2, -1) for c in group.column("cells").to_pylist()], axis=1)
-    order = np.lexsort((nodes, points))
-    points, nodes = points[order], nodes[order]
-    start = np.flatnonzero(np.r_[True, points[1:] != points[:-1]])
-    size = np.diff(np.r_[start, len(points)])
+    """Distinct pairs of each node with the smallest and the largest node of its points; a pair of a node
+    with itself says that one of its points has more nodes than these pairs are whole for."""
+    (_, nodes), start, size = _by_point(group, 2)
     low, high = np.repeat(nodes[start], size), np.repeat(nodes[start + size - 1], size)
     a, b = np.concatenate([low, nodes]), np.concatenate([nodes, high])
     apart = a != b
-    a, b = a[apart], b[apart]
+    crowded = nodes[np.repeat(size > WHOLE, size)]
+    a, b = np.concatenate([a[apart], crowded]), np.concatenate([b[apart], crowded])
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
     new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
     return pa.table({"a": signed(a[new]), "b": signed(b[new])})
 
 
-def candidates(sets: DataFrame, texts: int, bits: int, count: int, similarity: float = SIMILARITY) -> DataFrame:
-    """``a, b``: nodes that meet on a point and whose fingerprints differ no more than the similarity lets expect."""
-    step = max(1, PASS_POINTS // (bits + 1))
-    buckets = 1 << max(int(math.log2(LEAST_BUCKETS)), math.ceil(math.log2(max(1, texts * step * (bits + 1) * 16 / BUCKET_BYTES))))
+def _blocks(group: pa.Table) -> pa.Table:
+    """Of the points that hold nodes of several roots, every two blocks of ``BLOCK`` of their nodes, packed."""
+    rows, start, size = _by_point(group, 3)
+    several = np.minimum.reduceat(rows[2], start) != np.maximum.reduceat(rows[2], start)
+    found = {rows[1:, i : i + n].tobytes() for i, n in zip(start[several], size[several])}
+    one, other = [], []
+    for point in found:
+        members = np.frombuffer(point, dtype=np.uint64).reshape(2, -1)
+        parts = [members[:, i : i + BLOCK].tobytes() for i in range(0, members.shape[1], BLOCK)]
+        one += [p for k, p in enumerate(parts) for _ in parts[k:]]
+        other += [p for k, _ in enumerate(parts) for p in parts[k:]]
+    return pa.table({"one": pa.array(one, pa.binary()), "other": pa.array(other, pa.binary())})
+
+
+def _across(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The pairs of two blocks of one point whose roots differ."""
+    for cells in zip(batch.column("one").to_pylist(), batch.column("other").to_pylist()):
+        (a, ra), (b, rb) = (np.frombuffer(c, dtype=np.uint64).reshape(2, -1) for c in cells)
+        i, j = np.nonzero((ra[:, None] != rb) & (a[:, None] < b))  # a block's nodes ascend, and so do a point's blocks
+        yield pa.RecordBatch.from_arrays([pa.array(signed(a[i])), pa.array(signed(b[j]))], ["a", "b"])
+
+
+def _points(sets: DataFrame, texts: int, room: int, bits: int, count: int, width: int) -> Iterator[DataFrame]:
+    """The points of all fingerprints as packed rows of ``width`` numbers by bucket, in passes of ``room`` bytes."""
+    step = min(count, max(1, room // (8 * width * max(1, texts) * (bits + 1))))
+    buckets = 1 << max(int(math.log2(LEAST_BUCKETS)), math.ceil(math.log2(max(1, texts * step * (bits + 1) * 8 * width / BUCKET_BYTES))))
     shift = np.uint64(64 - int(math.log2(buckets)))
-    spread = sets.select("node", "prints").repartition(task_count(sets, texts, 20_000))
-    found = []
+    spread = sets.repartition(task_count(sets, texts, 20_000))
     for first in range(0, count, step):
         emit = partial(_emit, prints=range(first, min(count, first + step)), count=count, bits=bits, shift=shift)
-        points = map_batches(spread, emit, "bucket int, cells binary")
-        found.append(cut_lineage(points.groupBy("bucket").applyInArrow(_meet, "a long, b long"), "meeting-points"))
+        yield map_batches(spread, emit, "bucket int, cells binary")
+
+
+def meetings(sets: DataFrame, texts: int, bits: int, count: int) -> DataFrame:
+    """``a, b``: nodes that meet on a point, see ``_meet``."""
+    passes = _points(sets.select("node", "prints"), texts, 16 * PASS_POINTS * texts, bits, count, 2)
+    found = [cut_lineage(p.groupBy("bucket").applyInArrow(_meet, "a long, b long"), "meeting-points") for p in passes]
+    return cut_lineage(union_all(found).distinct(), "meeting-texts")
+
+
+def meetings_apart(rooted: DataFrame, texts: int, bits: int, count: int) -> DataFrame:
+    """Of ``node, root, prints``: all pairs ``a, b`` of nodes that meet on a point and have different roots.
+    A pass has the bytes of one of all ``texts``."""
+    passes = _points(rooted.select("node", "root", "prints"), rooted.count(), 16 * PASS_POINTS * texts, bits, count, 3)
+    found = [cut_lineage(p.groupBy("bucket").applyInArrow(_blocks, "one binary, other binary"), "crowded-points") for p in passes]
+    blocks = union_all(found).distinct()
+    return map_batches(blocks, _across, "a long, b long").distinct()
+
+
+def near(pairs: DataFrame, sets: DataFrame, bits: int, count: int, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of ``pairs`` whose fingerprints differ no more than the similarity lets expect."""
     most = (differing_share(similarity) + SLACK) * bits * count
 
     def close(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(-1, count) for c in ("one", "other"))
-        near = np.bitwise_count(one ^ other).sum(axis=1, dtype=np.int64) <= most
-        yield batch.select(["a", "b"]).filter(pa.array(near))
+        few = np.bitwise_count(one ^ other).sum(axis=1, dtype=np.int64) <= most
+        yield batch.select(["a", "b"]).filter(pa.array(few))
 
-    pairs = cut_lineage(union_all(found).distinct(), "meeting-texts")
     one = sets.select(F.col("node").alias("a"), F.col("prints").alias("one"))
     other = sets.select(F.col("node").alias("b"), F.col("prints").alias("other"))
     return map_batches(pairs.join(one, "a").join(other, "b").select("a", "b", "one", "other"), close, "a long, b long")
@@ -176,18 +231,34 @@ def verified(pairs: DataFrame, shingles: DataFrame, similarity: float = SIMILARI
     return map_batches(pairs.join(one, "a").join(other, "b").select("a", "b", "one", "other"), alike, "a long, b long")
 
 
-def links(scanned: DataFrame, sets: DataFrame, texts: int, bits: int, count: int, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links between nodes that connect every group found. One candidate of each node is
-    verified first; of the others only those between groups that are still apart."""
-    close = cut_lineage(candidates(sets, texts, bits, count, similarity), "candidates")
-    needed = sets.select("row", "node").join(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
-    shingles = cut_lineage(scanned.select("row", "hashes").join(needed, "row").select("node", "hashes"), "shingles")
+def linked(close: DataFrame, shingles: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Verified links of the candidates ``close`` that connect every group of them. One candidate of each
+    node is verified first; of the others only those between groups that are still apart."""
     first = cut_lineage(verified(close.groupBy("b").agg(F.min("a").alias("a")), shingles, similarity), "first-links")
-    groups = components(first)
+    apart = between(close, components(first))
+    return first.unionByName(cut_lineage(verified(apart, shingles, similarity), "more-links"))
+
+
+def between(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Those of ``pairs`` whose nodes are not in one of the ``groups`` (``node, root``)."""
     at_a = groups.select(F.col("node").alias("a"), F.col("root").alias("ra"))
     at_b = groups.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    apart = close.join(at_a, "a", "left").join(at_b, "b", "left").filter("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
-    return first.unionByName(cut_lineage(verified(apart, shingles, similarity), "more-links"))
+    return pairs.join(at_a, "a", "left").join(at_b, "b", "left").filter("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
+
+
+def links(scanned: DataFrame, sets: DataFrame, texts: int, bits: int, count: int, similarity: float = SIMILARITY) -> DataFrame:
+    """Verified links between nodes that connect every group found."""
+    met = meetings(sets, texts, bits, count)
+    close = cut_lineage(near(met.filter("a <> b"), sets, bits, count, similarity), "candidates")
+    crowded = met.filter("a = b").select(F.col("a").alias("node"))
+    needed = sets.select("row", "node").join(close.select(F.explode(F.array("a", "b")).alias("node")).union(crowded).distinct(), "node")
+    shingles = cut_lineage(scanned.select("row", "hashes").join(needed, "row").select("node", "hashes"), "shingles")
+    found = linked(close, shingles, similarity)
+    groups = components(found)
+    rooted = sets.select("node", "prints").join(crowded, "node").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = meetings_apart(cut_lineage(rooted, "crowded-texts"), texts, bits, count).join(met, ["a", "b"], "left_anti")
+    rest = cut_lineage(near(apart, sets, bits, count, similarity), "candidates-apart")
+    return found.unionByName(linked(rest, shingles, similarity))
 
 
 def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, reach: float = REACH) -> DataFrame:

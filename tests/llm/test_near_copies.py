@@ -89,3 +89,37 @@ def test_stage_drops_only_what_all_pairs_drop(spark):
 
 def test_shingles_are_those_of_the_stage():
     assert len(np.unique(shingle_hashes(b"a b c d e f A B c d e f", 5))) == len(shingles("a b c d e f A B c d e f"))
+
+
+def linked_by_hand(spark, hashes):
+    """Groups that ``links`` finds in nodes with these sets of hashes, all of which meet on every point, and those of all pairs."""
+    bits, count = near_copies.shape(len(hashes))
+    prints = np.arange(count, dtype=np.uint64).tobytes()
+    rows = [(node, node, node, prints, np.array(sorted(some), dtype=np.uint64).tobytes()) for node, some in hashes.items()]
+    scanned = spark.createDataFrame(rows, "row long, doc_id long, node long, prints binary, hashes binary")
+    sets = scanned.select("row", "prints", "node", scanned.doc_id.alias("first_doc"))
+    found = near_copies.links(scanned, sets, len(rows), bits, count).collect()
+    alike = [(a, b) for a, b in combinations(hashes, 2) if similarity(hashes[a], hashes[b]) >= 0.8]
+    loners = [(a, a) for a in hashes]
+    assert all(similarity(hashes[r["a"]], hashes[r["b"]]) >= 0.8 for r in found)
+    return groups(loners + [(r["a"], r["b"]) for r in found]), groups(loners + alike)
+
+
+def test_a_link_between_neither_the_smallest_nor_the_largest_of_a_point(spark):
+    """Two strangers are the smallest and the largest text of every point at which two near copies meet."""
+    copy = frozenset(range(100, 200))
+    found, expected = linked_by_hand(spark, {1: frozenset(range(50)), 2: copy, 3: copy | {200}, 4: frozenset(range(300, 350))})
+    assert found == expected == {1: 1, 2: 2, 3: 2, 4: 4}
+
+
+def test_links_of_a_crowded_point_are_those_of_all_pairs(spark):
+    """600 texts on one point, in blocks: pairs of near copies, chains of them and strangers, in random order."""
+    rng = random.Random(9)
+    nodes = rng.sample(range(1, 10**9), 600)
+    hashes = {}
+    for k, node in enumerate(nodes):
+        family, place = (k // 2, k % 2) if k < 300 else (1000 + (k - 300) // 10, k % 10) if k < 500 else (2000 + k, 0)
+        hashes[node] = frozenset(range(family * 1000 + 5 * place, family * 1000 + 5 * place + 60))  # neighbours at 0.85, others less
+    found, expected = linked_by_hand(spark, hashes)
+    assert found == expected
+    assert Counter(Counter(expected.values()).values()) == {2: 150, 10: 20, 1: 100}
